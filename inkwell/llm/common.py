@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell.runtime import ship
+
 #: Rows that one ordered bucket of :func:`with_prefix` holds on average.
 BUCKET_ROWS = 50_000
 #: Documents in one Arrow batch, so that a batch of very long texts still fits in memory.
@@ -16,7 +18,8 @@ ARROW_ROWS = 1_000
 
 
 def tune(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch to ``ARROW_ROWS`` where the session has Spark's default."""
+    """Send the package to the workers, and lower the rows of an Arrow batch to ``ARROW_ROWS`` where the session has Spark's default."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) == 10_000:
         spark.conf.set(key, str(ARROW_ROWS))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.llm.decontaminate import contaminated
 from inkwell.llm.line_dedup import dedup_lines
+from inkwell.llm.minhash import near_groups
 from inkwell.llm.sharding import assign_shards
 
 
@@ -16,8 +18,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op7_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_minhash_near_dedup, op4_decontamination, op7_line_dedup)}
