@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.decontaminate import contaminated
+from inkwell.llm.langid import identify
+from inkwell.llm.license_scan import scan_licenses
 from inkwell.llm.line_dedup import dedup_lines
 from inkwell.llm.minhash import near_groups
+from inkwell.llm.quality import score_quality
 from inkwell.llm.sharding import assign_shards
 
 
@@ -26,8 +29,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_minhash_near_dedup, op4_decontamination, op7_line_dedup)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_minhash_near_dedup, op4_decontamination, op6_quality_classifier, op7_line_dedup, op9_language_id, op10_license_scan)}
