@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import line_dedup, sharding
+from inkwell.llm import line_dedup, mixing, pivots, sharding, warc
 
 OP1 = f"""
 WITH r AS (
@@ -36,4 +36,68 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN g.text END AS text,
 FROM documents d LEFT JOIN g USING (doc_id)
 """
 
-ORACLES = {"op1_sharding": OP1, "op7_line_dedup": OP7}
+
+
+def _fill(parent: str, name: str, keys: str, children: str, weight: str) -> str:
+    """Split the parents' budgets among children (keys, cap, budget), as ``keys, share``."""
+    return f"""
+  SELECT {keys}, CASE WHEN opened THEN (budget - full0) * w // rest0 ELSE cap END AS share FROM (
+    SELECT *, min(CASE WHEN opened THEN full_ END) OVER (PARTITION BY {parent}) AS full0,
+           max(CASE WHEN opened THEN rest END) OVER (PARTITION BY {parent}) AS rest0 FROM (
+      SELECT *, (budget - full_) * w < cap * rest AS opened FROM (
+        SELECT *, CAST(coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS full_,
+               CAST(sum(w) OVER (PARTITION BY {parent} ORDER BY cap / w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest
+        FROM (SELECT *, CAST({weight} AS BIGINT) AS w FROM ({children})))))"""
+
+
+_M, _W = mixing.MIXTURE, mixing.weight_sql(mixing.MIXTURE)
+
+OP5 = f"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')), 0) AS BIGINT) AS n_tokens,
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, text
+  FROM documents),
+e AS (SELECT *, {mixing.domain_sql(_M)} AS domain FROM d),
+leaf AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {_M.max_epochs} AS BIGINT) AS cap
+  FROM e GROUP BY ALL HAVING sum(n_tokens) > 0),
+total AS (SELECT CAST(sum(tokens) * {_M.budget[0]} // {_M.budget[1]} AS BIGINT) AS budget FROM leaf),
+b1 AS ({_fill("1", "domain", "domain", "SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, any_value(budget) AS budget FROM leaf, total GROUP BY domain", _W["domain"])}),
+b2 AS ({_fill("domain", "lang", "domain, lang", "SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, any_value(share) AS budget FROM leaf JOIN b1 USING (domain) GROUP BY domain, lang", _W["lang"])}),
+b3 AS ({_fill("domain, lang", "source", "domain, lang, source, tokens", "SELECT domain, lang, source, tokens, cap, share AS budget FROM leaf JOIN b2 USING (domain, lang)", _W["source"])}),
+p AS (SELECT e.*, share // tokens AS whole, share % tokens AS rest FROM e JOIN b3 USING (domain, lang, source)),
+c AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+           ORDER BY md5('{mixing.SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, n_tokens
+           ROWS UNBOUNDED PRECEDING) AS running
+  FROM p WHERE rest > 0)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(whole)) AS BIGINT) AS epoch FROM p WHERE whole > 0
+UNION ALL
+SELECT doc_id, domain, lang, source, n_tokens, CAST(whole AS BIGINT) FROM c WHERE running <= rest
+"""
+
+OP2 = f"""
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding, b.embedding) >= {pivots.MIN_COSINE}
+"""
+
+OP8 = f"""
+WITH p AS (
+  SELECT page_id, url, hex(encode(coalesce(html, ''))) AS h,
+         md5(coalesce(CAST(page_id AS VARCHAR), 'null') || '|' || coalesce(url, 'null')) AS k
+  FROM pages),
+c AS (
+  SELECT *, len(h) // 2 AS n, CAST(unnest(range(greatest(1, (len(h) // 2 + {warc.CHUNK_BYTES - 1}) // {warc.CHUNK_BYTES}))) AS BIGINT) AS i
+  FROM p)
+SELECT '<urn:uuid:' || k[1:8] || '-' || k[9:12] || '-' || k[13:16] || '-' || k[17:20] || '-' || k[21:32] || '>' AS record_id,
+       'response' AS warc_type, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_uri,
+       CAST(i AS INTEGER) AS chunk_no, i * {warc.CHUNK_BYTES} AS chunk_offset,
+       CAST(least({warc.CHUNK_BYTES}, n - i * {warc.CHUNK_BYTES}) AS INTEGER) AS n_bytes,
+       to_base64(unhex(substr(h, i * {2 * warc.CHUNK_BYTES} + 1, {2 * warc.CHUNK_BYTES}))) AS chunk,
+       sha256(unhex(substr(h, 1, (i + 1) * {2 * warc.CHUNK_BYTES}))) AS digest,
+       (i + 1) * {warc.CHUNK_BYTES} >= n AS is_last, (i + 1) * {warc.CHUNK_BYTES} >= n AS complete
+FROM c
+"""
+
+ORACLES = {"op1_sharding": OP1, "op2_embedding_near_dedup": OP2, "op5_source_mixing": OP5, "op7_line_dedup": OP7, "op8_warc": OP8}

@@ -9,8 +9,11 @@ from inkwell.llm.langid import identify
 from inkwell.llm.license_scan import scan_licenses
 from inkwell.llm.line_dedup import dedup_lines
 from inkwell.llm.minhash import near_groups
+from inkwell.llm.mixing import mix
+from inkwell.llm.pivots import near_vectors
 from inkwell.llm.quality import score_quality
 from inkwell.llm.sharding import assign_shards
+from inkwell.llm.warc import chunk_pages, portable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings")).select("vec_a", "vec_b")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +36,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,6 +48,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portable(chunk_pages(_table(spark, sf_dir, "pages")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -45,4 +60,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_minhash_near_dedup, op4_decontamination, op6_quality_classifier, op7_line_dedup, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op5_source_mixing, op6_quality_classifier, op7_line_dedup, op8_warc, op9_language_id, op10_license_scan)}
