@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +27,21 @@ def map_batches(lines: DataFrame, fn: Callable[[list[str]], list[str]], batch_si
     """(line): ``fn`` on batches of lines; it may change their number."""
     ship(lines.sparkSession)
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
-        for f in frames:
-            held += f["line"].tolist()
+
+        def done(lines: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(fn(lines), pa.string())], names=["line"])
+
+        for batch in batches:
+            held += batch.column(0).to_pylist()
             while len(held) >= batch_size:
-                yield pd.DataFrame({"line": fn(held[:batch_size])})
+                yield done(held[:batch_size])
                 held = held[batch_size:]
         if held:
-            yield pd.DataFrame({"line": fn(held)})
+            yield done(held)
 
-    return lines.select("line").mapInPandas(apply, "line string")
+    return lines.select("line").mapInArrow(apply, "line string")
 
 
 def for_each(lines: DataFrame, fn: Callable[[str], None]) -> None:

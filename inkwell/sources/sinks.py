@@ -74,4 +74,5 @@ def to_parallel_arrays(df: DataFrame, order: str) -> DataFrame:
     """One row of arrays: words, scores, frequencies, contexts in the order of ``order``."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "word", "score", "frequency", "context")))
     packed = df.agg(rows.alias("r"))
-    return packed.select(*[F.transform("r", lambda x, c=c: x[c]).alias(f"{c}s" if c != "frequency" else "frequencies") for c in ("word", "score", "frequency", "context")])
+    names = {"word": "words", "score": "scores", "frequency": "frequencies", "context": "contexts"}
+    return packed.select(*[F.col("r").getField(c).alias(n) for c, n in names.items()])

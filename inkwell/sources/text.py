@@ -7,7 +7,7 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.runtime import ship
@@ -58,7 +58,7 @@ def lines_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): each file's whole content, with CR LF as LF."""
     _must_exist(spark, path)
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("text"))
 
 
@@ -75,7 +75,9 @@ def read_pmi(spark: SparkSession, path: str, min_score: float = 1.0) -> DataFram
     first = lines.orderBy("pos").first()
     if first is None:
         raise ValueError(f"{path} is empty")
-    body = lines.where(F.col("pos") != F.lit(first["pos"])) if "ngram" in first["line"] else lines
+    at = first["pos"]
+    place = F.struct(*[F.lit(v).alias(k) for k, v in at.asDict().items()]) if isinstance(at, Row) else F.lit(at)
+    body = lines.where(F.col("pos") != place) if "ngram" in first["line"] else lines
     if body.isEmpty():
         raise ValueError(f"{path} has no data lines")
     return parse_pmi(body, min_score)
