@@ -86,6 +86,35 @@ def spans_in(texts: list[str], phrases: dict[int, np.ndarray], sample: int = 32)
     return out
 
 
+def spans_in_long(text: str, phrases: dict[int, np.ndarray], chars: int) -> list[tuple[int, int]]:
+    """The removal spans of one text that is too long for an index, from overlapping pieces of about ``chars`` characters.
+
+    A piece ends before a word that its end may cut, and the next one begins
+    early enough for the longest phrase, so every occurrence lies in a piece.
+    """
+    most = max(phrases, default=1)
+    start, found = 0, []
+    while True:
+        part = text[start : start + chars]
+        last = start + chars >= len(text)
+        w = split_words([part])
+        whole = len(w.begin)
+        if not last and whole and w.end[-1] == len(part):
+            whole -= 1
+            part = part[: w.begin[-1]]
+        if not last and whole <= most:
+            chars *= 2  # words longer than pieces
+            continue
+        found += [(a + start, b + start) for a, b in spans_in([part], phrases)[0]]
+        if last:
+            break
+        start += int(w.begin[whole - most + 1]) if most > 1 else int(w.end[whole - 1])
+    if not found:
+        return []
+    x, y = merged(*(np.array(v) for v in zip(*found)))
+    return list(zip(x.tolist(), y.tolist()))
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     at, kept = 0, []
     for a, b in spans:
@@ -99,7 +128,8 @@ def _finder(phrases, shard_chars: int):
     kind = pa.struct([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("clean", pa.string())])
 
     def answer(texts: list[str | None]) -> pa.Array:
-        found = spans_in([t or "" for t in texts], phrases.value)
+        long = len(texts) == 1 and len(texts[0] or "") > shard_chars
+        found = [spans_in_long(texts[0], phrases.value, shard_chars)] if long else spans_in([t or "" for t in texts], phrases.value)
         return pa.array([{"spans": [{"start": a, "end": b} for a, b in s], "clean": cut(t, s) if s else None} for t, s in zip(texts, found)], kind)
 
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

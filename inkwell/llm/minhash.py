@@ -238,7 +238,7 @@ def near_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, group_id, group_size, kept): the documents that have near copies.
+    """(doc_id, group_id, kept): the documents that have near copies.
 
     A group is a connected component of the pairs within ``max_distance``;
     ``group_id`` is the least doc_id of the group and marks the one document
@@ -255,7 +255,7 @@ def near_groups(
     best = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"), F.min(_order()).alias("first"))
     return (
         grouped.join(best.where("group_size > 1"), "root")
-        .select("doc_id", "group_id", "group_size", (_order() == F.col("first")).alias("kept"))
+        .select("doc_id", "group_id", (_order() == F.col("first")).alias("kept"))
     )
 
 

@@ -72,14 +72,14 @@ def assign_shards(
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``shard_id`` and ``position``; columns of those names are replaced.
+    """``docs`` with ``shard_id`` and ``position``; columns of those names, in any case of letters, are replaced.
 
     The assignment is computed without the texts, which then move once, in the
     join by ``doc_id``. Rows that repeat an id are matched to the id's
     positions in the order of their texts' hashes.
     """
     names = docs.columns
-    keep = [i for i, c in enumerate(names) if c not in ("shard_id", "position")]
+    keep = [i for i, c in enumerate(names) if c.lower() not in ("shard_id", "position")]
     at = names.index("doc_id")
     raw = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     nth = Window.partitionBy("__id", "__source")
