@@ -279,7 +279,6 @@ def _as_files(spark, d) -> str:
 
 
 def _streamed(spark, df: DataFrame, mode: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stopTimeout", "60s")
     return streams.run_to_memory(df, f"inkwell_{uuid.uuid4().hex}", mode)
 
 
