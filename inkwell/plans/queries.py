@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.text import is_blank, is_emoji_only, is_excluded, is_valid_candidate, line_hash, ngrams, normalized_line
 from inkwell.operators import maps, ngrams as ng, normalize as norm, sampling, words
 from inkwell.sources.text import lines_of
+from inkwell.runtime import spread
 from inkwell.streaming import streams
 
 #: Parameters of the word-extraction queries; top-k and candidate limits are the operators' own.
@@ -19,7 +20,7 @@ MIN_LENGTH, MAX_LENGTH = 20, 400
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +27,18 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+#: Tables up to this size on disk may sit in one row group, which one task would have to read alone.
+SPREAD_BYTES = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table over all cores, by the hash of ``key``; larger ones keep the partitions of their files.
+
+    A scan can't split a row group, so without this a table of one row group is
+    worked on by one core, whatever follows. The size is the plan's estimate.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if size <= SPREAD_BYTES and cores > 1 else df
