@@ -118,20 +118,34 @@ def _statistics(texts: list[str]) -> np.ndarray:
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: str) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts, the same ones whatever the partitions.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: str) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of at most ``rows`` labelled documents, the same ones whatever the partitions.
 
-    Ids are sampled before their texts are fetched. Of several labels of an id
-    the lowest counts; null labels and ids aren't used.
+    Ids are sampled before their texts are read, and the texts become
+    statistics where they are, so the driver gets a row of numbers for each. Of
+    several labels of an id the lowest counts, of several texts the first in
+    order; null labels and ids aren't used.
     """
     good = picked(labels, doc_id="doc_id", quality="quality").where("doc_id IS NOT NULL AND quality IS NOT NULL")
     good = good.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     have = picked(docs, doc_id="doc_id", text="text")
     # no more than ``rows`` ids are drawn from those that the documents hold
     ids = good.join(have.select("doc_id"), "doc_id", "left_semi").orderBy(order_key(seed, F.col("doc_id"))).limit(rows)
-    sample = have.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").toPandas()
-    sample = sample.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return [t or "" for t in sample["text"]], sample["quality"].to_numpy(dtype=float)
+    drawn = have.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.col("text"), _measure()(F.col("text")).alias("x"))
+    one = drawn.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("x", F.coalesce("text", F.lit(""))).alias("x"))
+    sample = one.toPandas().sort_values("doc_id")
+    x = np.stack(sample["x"].to_numpy()) if len(sample) else np.zeros((0, len(FEATURES)))
+    return x, sample["quality"].to_numpy(dtype=float)
+
+
+def _measure():
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            x = statistics(pc.fill_null(batch.cast(pa.string()), "").to_pylist())
+            ends = np.arange(0, x.size + 1, x.shape[1])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.ravel(), pa.float64()))
+
+    return F.arrow_udf(measure, "array<double>").asNondeterministic()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: str = SEED) -> Forest:
@@ -139,11 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: str =
 
     Without any labelled document every probability is 1, so nothing is rejected.
     """
-    texts, y = labelled_sample(docs, labels, rows, seed)
+    x, y = labelled_sample(docs, labels, rows, seed)
     if not len(y):
         none = np.zeros(1, np.int64)
         return Forest(none, np.array([np.inf]), none, none, np.zeros(1), none, 0, 50.0)
-    return train(statistics(texts), (y > 0).astype(float))
+    return train(x, (y > 0).astype(float))
 
 
 def _scorer(docs: DataFrame, forest: Forest):
