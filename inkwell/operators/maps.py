@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from inkwell.runtime import ship
@@ -54,3 +54,10 @@ def reduce_column(df: DataFrame, column: str, fn: Callable, initial):
     """Fold a column: each partition by itself, then the parts; ``fn`` must be associative and ``initial`` neutral."""
     ship(df.sparkSession)
     return df.select(column).rdd.map(lambda r: r[0]).treeAggregate(initial, fn, fn)
+
+
+def observed(lines: DataFrame, name: str, column: str = "line") -> tuple[DataFrame, Observation]:
+    """``lines`` with counters of lines and bytes that fill while an action runs over them; no further pass."""
+    seen = Observation(name)
+    size = F.sum(F.octet_length(column).cast("long") + 1)
+    return lines.observe(seen, F.count(F.lit(1)).alias("lines"), F.coalesce(size, F.lit(0)).alias("bytes")), seen

@@ -25,8 +25,16 @@ def _between(low: float, high: float, kind: type):
     return parse
 
 
+class Parser(argparse.ArgumentParser):
+    """Exit codes tell what is wrong: 105 a bad value, 106 something missing, 109 something superfluous."""
+
+    def error(self, message: str):
+        missing, extra = "required" in message, "unrecognized" in message
+        self.exit(106 if missing else 109 if extra else 105, f"{self.prog}: {message}\n")
+
+
 def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="inkwell", description="Prepare text corpora and find words in them.")
+    top = Parser(prog="inkwell", description="Prepare text corpora and find words in them.")
     top.add_argument("-v", "--version", action="version", version=VERSION)
     top.add_argument("-q", "--quiet", action="store_true")
     commands = top.add_subparsers(dest="command", required=True)

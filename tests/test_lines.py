@@ -169,8 +169,19 @@ def test_cli_round_trip(spark, tmp_path, capsys):
     assert cli.main(["-q", "word-extract", table, clean, out], spark) == 0
     assert open(out).readline() == "word\tscore\tfrequency\tcontext\n"
     assert cli.main(["-q", "normalize", str(tmp_path / "none"), clean], spark) == 1
-    with pytest.raises(SystemExit):
-        cli.main(["pmi", clean, table, "--n", "4"], spark)
+
+
+@pytest.mark.parametrize(("args", "code"), [(["pmi", "a", "b", "--n", "4"], 105), (["pmi", "a", "b", "--top", "0"], 105), (["pmi", "a"], 106), ([], 106), (["normalize", "a", "b", "-q"], 109), (["--version"], 0)])
+def test_cli_exit_codes(args, code):
+    with pytest.raises(SystemExit) as e:
+        cli.main(args)
+    assert e.value.code == code
+
+
+def test_observed_counters(spark):
+    lines, seen = maps.observed(frame(spark, ["ab", "é", ""]), "t_observed")
+    lines.count()
+    assert seen.get == {"lines": 3, "bytes": 7}
 
 
 def test_sinks(spark, tmp_path):
