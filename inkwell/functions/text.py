@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,19 +18,26 @@ _SKIPPED = (
 #: What counts as emoji besides: digits, five symbols, joiners and selectors, and the emoji planes.
 _EMOJI = r"0-9\x{A9}\x{AE}\x{2122}\x{2139}\x{3297}\x{3299}\x{200D}\x{FE0F}\x{20E3}\x{1F000}-\x{1FAFF}"
 EMOJI_ONLY = f"^[{_SKIPPED}{_EMOJI}]*[{_EMOJI}][{_SKIPPED}{_EMOJI}]*$"
-BLANK = r"^[ \t\n\x0B\f\r]*$"
+NOT_BLANK = r"[^ \t\n\x0B\f\r]"
 #: Control and format characters; the last two ranges are newer than the JVM's tables.
+_ASCII_CONTROL = r"[\x00-\x1F\x7F]"
 _CONTROL = r"[\p{Cc}\p{Cf}\x{890}-\x{891}\x{13439}-\x{1343F}]"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def is_blank(line: Column) -> Column:
     """Only ASCII white space, or nothing."""
-    return line.rlike(BLANK)
+    return ~line.rlike(NOT_BLANK)
 
 
 def is_emoji_only(line: Column) -> Column:
     """At least one emoji, and nothing else but white space and punctuation. Digits count as emoji."""
-    return line.rlike(EMOJI_ONLY)
+    # most lines hold a letter, which settles it at the first one
+    return F.when(line.rlike("[A-Za-z]"), F.lit(False)).otherwise(line.rlike(EMOJI_ONLY))
 
 
 def is_excluded(line: Column, min_length: int = 0, max_length: int = 0) -> Column:
@@ -49,7 +56,11 @@ def composed(text: Column, form: str = "NFKC") -> Column:
     if form not in FORMS:
         raise ValueError(f"unknown normalization form {form!r}")
     name = F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.java_method(*name, text, F.lit(form == "NFKC"))).otherwise(text)
+    return F.when(_is_ascii(text), text).otherwise(F.java_method(*name, text, F.lit(form == "NFKC")))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def normalized_line(line: Column, form: str = "NFKC") -> Column:
@@ -58,21 +69,22 @@ def normalized_line(line: Column, form: str = "NFKC") -> Column:
     Fields lose control and format characters; in NFKC a field without ASCII
     digits is lower-cased. A null line stays null.
     """
-    valid = F.make_valid_utf8(line)
-    fields = F.split(valid, "\t", -1)
-    drop = (
-        is_blank(valid)
-        | (F.length(valid) <= 1)
-        | (~F.contains(valid, F.lit("\t")) & valid.rlike(r"^[\x{10000}-\x{10FFFF}]") & is_emoji_only(valid))
-        | F.exists(fields, lambda x: x == "")
-    )
-
-    def clean(x: Column) -> Column:
-        plain = F.regexp_replace(composed(x, form), _CONTROL, "")
-        return F.when(plain.rlike("[0-9]"), plain).otherwise(F.lower(plain)) if form == "NFKC" else plain
-
-    done = F.when(F.contains(valid, F.lit("\t")), F.array_join(F.transform(fields, clean), "\t")).otherwise(clean(valid))
-    return F.when(line.isNotNull() & ~drop, done)
+    return _let(F.make_valid_utf8(line), lambda valid: _normalized(valid, form))
+
+
+def _normalized(valid: Column, form: str) -> Column:
+    drop = is_blank(valid) | (F.length(valid) <= 1)
+
+    def stripped(x: Column) -> Column:
+        plain = F.when(_is_ascii(x), F.regexp_replace(x, _ASCII_CONTROL, "")).otherwise(F.regexp_replace(composed(x, form), _CONTROL, ""))
+        return _let(plain, lambda p: F.when(p.rlike("[0-9]"), p).otherwise(F.lower(p))) if form == "NFKC" else plain
+
+    def joined(fields: Column) -> Column:
+        return F.when(~F.exists(fields, lambda x: x == ""), F.array_join(F.transform(fields, stripped), "\t"))
+
+    alone = F.when(~(valid.rlike(r"^[\x{10000}-\x{10FFFF}]") & is_emoji_only(valid)), stripped(valid))
+    whole = F.when(F.contains(valid, F.lit("\t")), _let(F.split(valid, "\t", -1), joined)).otherwise(alone)
+    return F.when(valid.isNotNull() & ~drop, whole)
 
 
 def ngrams(text: Column, n: int) -> Column:
