@@ -64,11 +64,11 @@ def features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sparse TF-IDF row of a text: dimensions and log(1 + count) * idf, of length 1; no dimensions without letters."""
     counts = ngram_counts(text)
     at = np.flatnonzero(counts)
-    return weighted(at, counts[at], idf)
+    return weighted(at, np.log1p(counts[at]), idf)
 
 
-def weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    v = np.log1p(counts) * idf[at]
+def weighted(at: np.ndarray, logs: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    v = logs * idf[at]
     return at, v / np.sqrt(v @ v) if len(at) else v
 
 
@@ -159,16 +159,19 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _counted():
-    """A function from texts to their n-grams' dimensions and counts."""
-    kind = pa.struct([("dims", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    """A function from texts to their n-grams: dimensions as 16-bit and log(1 + count) as 32-bit numbers, in bytes."""
+    kind = pa.struct([("dims", pa.binary()), ("logs", pa.binary())])
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [ngram_counts(t) for t in pc.fill_null(batch.cast(pa.string()), "").to_pylist()]
-            at = [np.flatnonzero(c).astype(np.int32) for c in rows]
-            yield pa.array([{"dims": a, "counts": c[a].astype(np.int32)} for a, c in zip(at, rows)], kind)
+            out = []
+            for t in pc.fill_null(batch.cast(pa.string()), "").to_pylist():
+                c = ngram_counts(t)
+                at = np.flatnonzero(c)
+                out.append({"dims": at.astype(np.uint16).tobytes(), "logs": np.log1p(c[at]).astype(np.float32).tobytes()})
+            yield pa.array(out, kind)
 
-    return F.arrow_udf(count, "struct<dims:array<int>,counts:array<int>>").asNondeterministic()
+    return F.arrow_udf(count, "struct<dims:binary,logs:binary>").asNondeterministic()
 
 
 def fit(docs: DataFrame, label_col: str = "lang", per_language: int = TRAIN_ROWS, seed: str = SEED) -> Model:
@@ -180,14 +183,16 @@ def fit(docs: DataFrame, label_col: str = "lang", per_language: int = TRAIN_ROWS
     ids = picked(docs, doc_id="doc_id", lang=label_col).where("lang IS NOT NULL AND doc_id IS NOT NULL").distinct()
     ids = ids.withColumn("key", key).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("nth") <= per_language)
     drawn = rows.join(F.broadcast(ids.drop("nth")), ["doc_id", "lang"]).select("lang", "key", "text", _counted()(F.col("text")).alias("c"))
-    # texts become counts where they are; of several texts of an id the first in order counts
+    # texts become numbers where they are, so long ones don't reach the driver; of several texts of an id the first in order counts
     sample = drawn.groupBy("lang", "key").agg(F.min_by("c", F.coalesce("text", F.lit(""))).alias("c")).select("lang", "key", "c.*").toPandas()
     sample = sample.sort_values(["key", "lang"])
     languages = sorted(sample["lang"].unique())
     if not languages:
         return Model([], idf, np.zeros((DIMS, 0)), np.zeros(0), 1.0)
     y = sample["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy()
-    x = [weighted(np.asarray(at, np.int64), np.asarray(c, float), idf) for at, c in zip(sample["dims"], sample["counts"])]
+    idf32 = idf.astype(np.float32)
+    x = [weighted(np.frombuffer(at, np.uint16), np.frombuffer(c, np.float32), idf32) for at, c in zip(sample["dims"], sample["logs"])]
+    del sample
     held = np.arange(len(y)) % 5 == 4
     pick = lambda mask: [x[i] for i in np.flatnonzero(mask)]
     w, b = train_ftrl(pick(~held), y[~held], len(languages))
