@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import order_key, picked, tune, written
 
 MIN_COSINE = 0.95
-PREFIX = 8
-PROBES = 3
+#: Chosen for ``MAX_PIVOTS`` pivots, where a pair is lost most easily; with fewer pivots more is found.
+PREFIX = 16
+PROBES = 4
 SHARED = 5
 BLOCK = 4_000
+#: Verified pairs whose pivots are compared at once.
+PAIRS = 1 << 17
 SEED = "pivots-1"
 #: Pivots are handed to every task; this bounds them.
 MAX_PIVOTS = 4_096
@@ -112,23 +115,21 @@ def near_vectors(
         ids = group["vec_id"].to_numpy()
         x = np.stack(group["v"].to_numpy()).astype(np.float32)
         near = np.stack(group["near"].to_numpy())
-        has = np.zeros((len(ids), len(held.value)), np.float32)
-        np.put_along_axis(has, near.astype(np.int64), 1, axis=1)
         second = group["second"].to_numpy(dtype=bool)
         left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
-        probed = np.zeros((len(ids), pivot), bool)  # lists before this one
-        for c in range(m):
-            low = near[:, c] < pivot
-            probed[np.flatnonzero(low), near[low, c]] = True
-        used = np.flatnonzero(probed.any(axis=0))
-        before = probed[:, used].astype(np.float32)
         out = []
         for s in range(0, len(left), 1_000):
             a = left[s : s + 1_000]
             cosine = x[a] @ x[right].T
-            hit = (has[a] @ has[right].T >= least) & (cosine >= min_cosine) & (before[a] @ before[right].T == 0)
-            p, q = np.nonzero(hit & (ids[a][:, None] < ids[right][None] if same else ids[a][:, None] != ids[right][None]))
-            out.append(pd.DataFrame({"vec_a": np.minimum(ids[a][p], ids[right][q]), "vec_b": np.maximum(ids[a][p], ids[right][q]), "cosine": cosine[p, q].astype(float)}))
+            p, q = np.nonzero((cosine >= min_cosine) & (ids[a][:, None] < ids[right][None] if same else ids[a][:, None] != ids[right][None]))
+            for c in range(0, len(p), PAIRS):
+                i, j = p[c : c + PAIRS], q[c : c + PAIRS]
+                mine, other = near[a[i]], near[right[j]]
+                equal = mine[:, :, None] == other[:, None, :]
+                earlier = equal[:, :m, :m] & (mine[:, :m, None] < pivot)  # they meet in a list before this one
+                hit = (equal.sum(axis=(1, 2)) >= least) & ~earlier.any(axis=(1, 2))
+                i, j = i[hit], j[hit]
+                out.append(pd.DataFrame({"vec_a": np.minimum(ids[a[i]], ids[right[j]]), "vec_b": np.maximum(ids[a[i]], ids[right[j]]), "cosine": cosine[i, j].astype(float)}))
         return pd.concat(out) if out else pd.DataFrame({"vec_a": [], "vec_b": [], "cosine": []})
 
     pairs = meeting.groupBy("pivot", "i", "j").applyInPandas(compare, "vec_a long, vec_b long, cosine double")

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,6 +339,26 @@ def test_pivots_against_brute_force(spark):
     assert pivots.near_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("count", [283, 1_000, 4_096])
+def test_pivots_recall_at_any_number_of_pivots(spark, tmp_path, monkeypatch, count):
+    """Pairs of cosine 0.95 to 0.98 among 16,000 vectors; the number of pivots is that of larger tables."""
+    rng = np.random.default_rng(count)
+    base = rng.normal(size=(15_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(1_000, 64))
+    side -= (side * base[:1_000]).sum(axis=1, keepdims=True) * base[:1_000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.98, (1_000, 1))
+    near = c * base[:1_000] + np.sqrt(1 - c * c) * side
+    table = pa.table({"vec_id": np.arange(16_000), "embedding": np.concatenate([base, near]).tolist()})
+    pq.write_table(table, str(tmp_path / "v.parquet"))
+    monkeypatch.setattr(pivots, "pivot_count", lambda n: count)
+    got = {(r["vec_a"], r["vec_b"]) for r in pivots.near_vectors(spark.read.parquet(str(tmp_path / "v.parquet"))).collect()}
+    found = np.array([(i, 15_000 + i) in got for i in range(1_000)])
+    low = c[:, 0] < 0.96
+    assert found.mean() >= 0.95 and found[low].mean() >= 0.9
+
+
 # WARC
 
 
