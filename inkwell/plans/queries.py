@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import is_blank, is_emoji_only, is_excluded, is_valid_candidate, line_hash, ngrams, normalized_line
 from inkwell.operators import maps, ngrams as ng, normalize as norm, sampling, words
+from inkwell.plans.options import PmiOptions, WordOptions
 from inkwell.sources.text import lines_of
 from inkwell.runtime import spread
 from inkwell.streaming import streams
 
-#: Parameters of the word-extraction queries; top-k and candidate limits are the operators' own.
+#: Parameters of the word-extraction queries that are held against SQL, which has the same. They are a smaller
+#: job than the operators' defaults (2500, 3, 1.0); the queries named ``..._whole`` run with those.
 TOP_K, MIN_FREQ, MIN_PMI = 300, 5, 2.0
 MIN_LENGTH, MAX_LENGTH = 20, 400
 
@@ -149,13 +152,12 @@ def ngram_overwrite(spark, d):
     return ng.last_written(rows).select("ngram", "frequency")
 
 
-def _scores(spark, d, n):
-    return ng.pmi(_lines(spark, d), n, TOP_K, MIN_FREQ)
-
-
-def _candidates(spark, d):
-    both = _scores(spark, d, 2).unionByName(_scores(spark, d, 3)).withColumn("pmi", F.round("pmi", 6))
-    return words.candidates(both, MIN_PMI, 20, 400).drop("ord").withColumn("ord", F.col("text")).persist()
+def _candidates(spark, d, whole=False):
+    """With ``whole``, under the operators' default limits."""
+    pmi, word = PmiOptions(), WordOptions()
+    top_k, min_freq, min_pmi, most = (pmi.top_k, pmi.min_freq, word.min_pmi, word.max_candidates) if whole else (TOP_K, MIN_FREQ, MIN_PMI, 400)
+    both = ng.pmi(_lines(spark, d), 2, top_k, min_freq).unionByName(ng.pmi(_lines(spark, d), 3, top_k, min_freq)).withColumn("pmi", F.round("pmi", 6))
+    return words.candidates(both, min_pmi, word.max_candidate_length, most).drop("ord").withColumn("ord", F.col("text")).persist()
 
 
 def candidates_capped(spark, d):
@@ -166,8 +168,8 @@ def _texts(spark, d):
     return _documents(spark, d).select(F.col("doc_id").alias("seq"), "text")
 
 
-def occurrence_counts(spark, d):
-    return words.occurrences_in(words.with_offsets(_texts(spark, d)), _candidates(spark, d)).select("text", "occurrences")
+def occurrence_counts(spark, d, whole=False):
+    return words.occurrences_in(words.with_offsets(_texts(spark, d)), _candidates(spark, d, whole)).select("text", "occurrences")
 
 
 def verify_in_text(spark, d):
@@ -177,38 +179,38 @@ def verify_in_text(spark, d):
     return names.join(found, "text", "left_semi")
 
 
-def context_window(spark, d):
+def context_window(spark, d, whole=False):
     placed = words.with_offsets(_texts(spark, d)).persist()
-    return words.contexts_of(placed, words.occurrences_in(placed, _candidates(spark, d)).persist())
+    return words.contexts_of(placed, words.occurrences_in(placed, _candidates(spark, d, whole)).persist())
 
 
-def context_score(spark, d):
-    found = words.occurrences_in(words.with_offsets(_texts(spark, d)), _candidates(spark, d))
+def context_score(spark, d, whole=False):
+    found = words.occurrences_in(words.with_offsets(_texts(spark, d)), _candidates(spark, d, whole))
     return found.select("text", words.context_score(F.col("occurrences")).alias("context_score"))
 
 
-def _verified(spark, d):
-    return words.verify(_candidates(spark, d), _texts(spark, d))
+def _verified(spark, d, whole=False):
+    return words.verify(_candidates(spark, d, whole), _texts(spark, d))
 
 
-def statistical_score(spark, d):
-    return _verified(spark, d).select("text", F.round("statistical_score", 9).alias("statistical_score"))
+def statistical_score(spark, d, whole=False):
+    return _verified(spark, d, whole).select("text", F.round("statistical_score", 9).alias("statistical_score"))
 
 
 def _dictionary(spark, d):
     return _counts(spark, d, 2).where("frequency % 2 = 0").select(F.col("ngram").alias("text"))
 
 
-def dictionary_anti(spark, d):
-    return words.verify(_candidates(spark, d), _texts(spark, d), _dictionary(spark, d), context=False, statistics=False).select("text", "score", "frequency")
+def dictionary_anti(spark, d, whole=False):
+    return words.verify(_candidates(spark, d, whole), _texts(spark, d), _dictionary(spark, d), context=False, statistics=False).select("text", "score", "frequency")
 
 
-def substring_prune(spark, d):
-    return words.drop_substrings(_candidates(spark, d)).select("text", "score")
+def substring_prune(spark, d, whole=False):
+    return words.drop_substrings(_candidates(spark, d, whole)).select("text", "score")
 
 
-def overlap_prune(spark, d):
-    return words.drop_overlaps(_candidates(spark, d)).select("text", "score")
+def overlap_prune(spark, d, whole=False):
+    return words.drop_overlaps(_candidates(spark, d, whole)).select("text", "score")
 
 
 def valid_candidate_filter(spark, d):
@@ -216,24 +218,24 @@ def valid_candidate_filter(spark, d):
     return c.where(F.octet_length("text").between(1, 3) & (F.col("frequency") >= 2) & is_valid_candidate(F.col("text")))
 
 
-def _pruned(spark, d):
-    return words.prune(_verified(spark, d), 2, 20, 0.5)
+def _pruned(spark, d, whole=False):
+    return words.prune(_verified(spark, d, whole), 2, 20, 0.5)
 
 
 def _shown(ranked: DataFrame) -> DataFrame:
     return ranked.select("rank", "word", F.round("score", 6).alias("score"), "frequency", "context")
 
 
-def rank_combined(spark, d):
-    return _shown(words.rank(_verified(spark, d), 100))
+def rank_combined(spark, d, whole=False):
+    return _shown(words.rank(_verified(spark, d, whole), WordOptions().top_k if whole else 100))
 
 
-def rank_pmi(spark, d):
-    return _shown(words.rank(_verified(spark, d), 100, "pmi"))
+def rank_pmi(spark, d, whole=False):
+    return _shown(words.rank(_verified(spark, d, whole), WordOptions().top_k if whole else 100, "pmi"))
 
 
-def word_extract_end_to_end(spark, d):
-    return _shown(words.rank(_pruned(spark, d), 200))
+def word_extract_end_to_end(spark, d, whole=False):
+    return _shown(words.rank(_pruned(spark, d, whole), WordOptions().top_k if whole else 200))
 
 
 def sample_lines(spark, d):
@@ -314,3 +316,7 @@ QUERIES = {
         ngrams_of_benchmark,
     )
 }
+
+#: The same without the lowered limits; their results are held against brute force.
+WHOLE = (occurrence_counts, context_window, context_score, statistical_score, dictionary_anti, substring_prune, overlap_prune, rank_combined, rank_pmi, word_extract_end_to_end)
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE}

@@ -8,6 +8,7 @@ from inkwell.operators import ngrams as ng
 from inkwell.operators import words as w
 from inkwell.plans import api
 from inkwell.plans.options import WordOptions
+from inkwell.plans.queries import QUERIES
 from inkwell.streaming import streams
 
 TEXT = ["人工知能と機械学習の研究が進んでいます。", "深層学習を用いた自然言語処理技術の開発が行われています。", "人工知能研究開発者が集まるカンファレンスが開催されました。"]
@@ -158,6 +159,51 @@ def test_extract_end_to_end(spark):
     assert loose.count() == 8
 
 
+def test_whole_extraction_against_brute_force(spark, tmp_path):
+    """More candidates than the 300 a length and 400 in all of the queries that SQL checks; frequencies from 3, ranks to 1000."""
+    rng = random.Random(11)
+    letters = "abcdefgéß" + "".join(chr(0x4E00 + i) for i in range(200))
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 5))) for _ in range(700)]
+    docs = ["\n".join(" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(4)) for _ in range(100)]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    joined = "\n".join(docs)
+    scores = [(g, round(s, 6), c) for n in (2, 3) for g, (s, c) in sorted(brute_pmi(docs, n, 3).items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))[:2500]]
+    want = {g: (s, c) for g, s, c in scores if s >= 1.0 and len(g.encode()) <= 20}
+    assert len(want) > 1000 and min(c for _, c in want.values()) == 3 and min(s for s, _ in want.values()) < 2
+
+    def got(name, *columns):
+        return [tuple(r[c] for c in columns) for r in QUERIES[name + "_whole"](spark, str(tmp_path)).collect()]
+
+    count = {g: joined.count(g) for g in want}
+    context = {g: joined[max(0, q - 20) : q + 20] for g in want for q in [joined.index(g)]}
+    stat = {g: min(1, min(1, c / 20) * (1 + min(0.3, (len(g) - 1) * 0.1)) * (1 + min(0.2, (count[g] - 1) * 0.05))) for g, (_, c) in want.items()}
+    assert dict(got("occurrence_counts", "text", "occurrences")) == count
+    assert dict(got("context_window", "text", "context")) == context
+    assert dict(got("context_score", "text", "context_score")) == {g: min(1, count[g] / 10) for g in want}
+    found = dict(got("statistical_score", "text", "statistical_score"))
+    assert found.keys() == stat.keys() and all(abs(found[g] - stat[g]) < 1e-8 for g in stat)
+    stop = {g for g, c in Counter(x[i : i + 2] for d in docs for x in d.split("\n") for i in range(len(x) - 1)).items() if c % 2 == 0}
+    assert sorted(got("dictionary_anti", "text", "score", "frequency")) == sorted((g, *v) for g, v in want.items() if g not in stop)
+    rows = sorted((g, s) for g, (s, _) in want.items())
+    assert sorted(got("substring_prune", "text", "score")) == brute_substrings(rows)
+    assert sorted(got("overlap_prune", "text", "score")) == brute_overlaps(rows)
+
+    def total(g):
+        return 0.4 * min(1, want[g][0] / 10) + 0.2 * math.exp(-((len(g.encode()) - 4) ** 2) / 8) + 0.2 * min(1, count[g] / 10) + 0.2 * stat[g]
+
+    def ranked(name, names, score):
+        best = sorted(names, key=lambda g: (-round(score(g), 9), -want[g][0], g))[:1000]
+        found = sorted(got(name, "rank", "word", "score", "frequency", "context"))
+        assert [(r, g, c, x) for r, g, _, c, x in found] == [(i + 1, g, want[g][1], context[g]) for i, g in enumerate(best)]
+        assert all(abs(s - score(g)) < 1e-5 for _, g, s, _, _ in found)
+
+    ranked("rank_combined", want, total)
+    ranked("rank_pmi", want, lambda g: want[g][0])
+    sized = [(g, s) for g, s in rows if 2 <= len(g.encode()) <= 20]
+    ranked("word_extract_end_to_end", [g for g, _ in brute_overlaps(brute_substrings(sized))], total)
+    assert not {f"{name}_whole" for name in ("candidates_capped", "verify_in_text")} & set(QUERIES)
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("Hello\nhello\nabab\n\n")
