@@ -4,7 +4,8 @@ Lines are normalised (lower case, runs of blanks as one space, trimmed) and
 hashed; a document's hashes are made distinct before they are exploded, so the
 count of documents a hash is a plain count that combines before its shuffle.
 Lines whose hash is in more than ``max_docs`` documents go; the others are put
-together again in their order.
+together again in their order. Short lines repeat by chance and long ones don't,
+so lines of at least ``long_words`` words can have a lower threshold of their own.
 
 The frequent hashes are handed to every task where their checked number is at
 most ``broadcast_hashes``; beyond that they are joined by hash and brought back
@@ -23,13 +24,32 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import picked, tune, written
 
 MAX_DOCS = 10
+#: The threshold of long lines, where it is asked for.
+LONG_WORDS, LONG_DOCS = 50, 1
 BROADCAST_HASHES = 1_000_000
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+
+def _lines(text: Column) -> Column:
+    flat = F.regexp_replace(F.lower(text), "[ \\t\\r\\f]+", " ")
+    return F.transform(F.split(flat, "\n", -1), lambda x: F.trim(x))
+
+
+def _hash(line: Column) -> Column:
+    return F.when(line != "", F.xxhash64(line))
 
 
 def line_hashes(text: Column) -> Column:
     """The hash of each normalised line; null for a line without visible characters."""
-    flat = F.regexp_replace(F.lower(text), "[ \\t\\r\\f]+", " ")
-    return F.transform(F.split(flat, "\n", -1), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
+    return F.transform(_lines(text), _hash)
+
+
+def _is_long(line: Column, words: int) -> Column:
+    """Whether a normalised line has so many words; of scripts without blanks, each character counts as one."""
+    spaced = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    wide = F.octet_length(line) - F.length(line)  # two bytes or more for each such character, which adds two words at most
+    count = F.regexp_count(line, F.lit(f"[{_UNSPACED}]|[^ {_UNSPACED}]+"))
+    return F.when(F.octet_length(line) < 2 * words - 1, F.lit(False)).when(spaced >= words, F.lit(True)).when(spaced + wide < words, F.lit(False)).otherwise(count >= words)
 
 
 def dedup_lines(
@@ -38,6 +58,8 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     broadcast_hashes: int = BROADCAST_HASHES,
+    long_words: int | None = None,
+    long_docs: int = LONG_DOCS,
 ) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for every row of ``docs``.
 
@@ -46,18 +68,21 @@ def dedup_lines(
     counted or dropped. A null text stays null, with 0 lines; a text that loses
     all its lines becomes the empty text. Null ids are kept. An empty table
     gives no rows. Other columns are ignored, whatever their names.
+
+    With ``long_words``, lines of at least so many words go already where more
+    than ``long_docs`` documents have them. All their copies go, the first as well.
     """
     tune(docs.sparkSession)
     rows = picked(docs, doc_id=id_col, text=text_col)
-    counted = (
-        rows.where(F.col("text").isNotNull())
-        .select(F.explode(F.array_distinct(line_hashes(F.col("text")))).alias("h"))
-        .where(F.col("h").isNotNull())
-        .groupBy("h")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max_docs)
-        .select("h")
-    )
+    texts = rows.where(F.col("text").isNotNull())
+    if long_words is None:
+        hashes, most = texts.select(F.explode(F.array_distinct(line_hashes(F.col("text")))).alias("h")), F.lit(max_docs)
+    else:
+        pairs = F.transform(_lines(F.col("text")), lambda x: F.struct(_hash(x).alias("h"), _is_long(x, long_words).alias("long")))
+        hashes = texts.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.*")
+        most = F.when(F.col("long"), long_docs).otherwise(max_docs)
+    keys = [c for c in ("h", "long") if c in hashes.columns]
+    counted = hashes.where(F.col("h").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("h")
     frequent = written(counted, "line-hashes")
     if frequent.count() <= broadcast_hashes:
         found = rows.withColumn("drop", _marker(docs, frequent)(line_hashes(F.col("text"))))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm.decontaminate import contaminated
 from inkwell.llm.langid import identify
 from inkwell.llm.license_scan import scan_licenses
-from inkwell.llm.line_dedup import dedup_lines
+from inkwell.llm.line_dedup import LONG_WORDS, dedup_lines
 from inkwell.llm.minhash import near_groups
 from inkwell.llm.mixing import mix
 from inkwell.llm.pivots import near_vectors
@@ -48,6 +48,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long lines that more than one document has go as well."""
+    return dedup_lines(_table(spark, sf_dir, "documents"), long_words=LONG_WORDS)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(chunk_pages(_table(spark, sf_dir, "pages")))
 
@@ -60,4 +65,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op5_source_mixing, op6_quality_classifier, op7_line_dedup, op8_warc, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op5_source_mixing, op6_quality_classifier, op7_line_dedup, op7_line_dedup_by_length, op8_warc, op9_language_id, op10_license_scan)}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import common, decontaminate as dc, fmindex, license_scan, line_dedup, minhash as mh, mixing, pivots, sharding, warc, words
 from inkwell.llm.license_rules import RULES
 from inkwell.llm.oracles import ORACLES
+from inkwell.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -306,6 +307,32 @@ def test_line_dedup_against_sql(spark, limit):
     assert line_dedup.dedup_lines(odd_rows(spark), broadcast_hashes=limit).count() == 12
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_long_lines_have_their_own_threshold(spark, limit, tmp_path):
+    passage, han = " ".join(f"w{i}" for i in range(50)), "学習人工知能" * 9
+    shared = {0: [passage, " ".join(f"v{i}" for i in range(49))], 1: [han, "short"]}
+    rows = [(i, "\n".join([f"own {i}", *shared[i // 2 % 2], f"end {i}"])) for i in range(4)] + [(4, passage.upper().replace(" ", "  ")), (5, "x " * 60 + "\n" + "x " * 60), (6, "alone " * 60)]
+    rows += [(10 + i, "common line") for i in range(11)] + [(30 + i, "not common") for i in range(10)]
+    frame = docs_of(spark, rows)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def key(line):
+        return " ".join(line.lower().split())
+
+    def is_long(line):
+        return len(line.split()) >= 50 or len(line) >= 50 and not line.isascii()
+
+    spread = Counter(k for _, text in rows for k in {key(x) for x in text.split("\n")})
+    want = []
+    for i, text in rows:
+        kept = [x for x in text.split("\n") if spread[key(x)] <= (1 if is_long(x) else 10)]
+        n = text.count("\n") + 1
+        want.append((i, "\n".join(kept), n, n - len(kept)))
+    got = rows_of(line_dedup.dedup_lines(frame, broadcast_hashes=limit, long_words=line_dedup.LONG_WORDS))
+    assert got == sorted(want, key=repr) and sum(r[3] for r in got) == 11 + 3 + 2
+    assert rows_of(QUERIES["op7_line_dedup_by_length"](spark, str(tmp_path))) == got
+
+
 def test_prefix_sums_are_exact(spark):
     df = spark.createDataFrame([("g" if i % 3 else "h", i // 10, i, i % 7) for i in range(200)], "g string, b long, i long, v long")
     got = {r["i"]: r["s"] for r in common.with_prefix(df, ["g"], "b", [F.col("i")], F.col("v"), "s").collect()}
