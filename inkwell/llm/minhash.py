@@ -35,7 +35,7 @@ from inkwell.llm.common import picked, tune, written
 from inkwell.llm.words import mixed, pieces, split_words
 
 N_HASHES = 64
-MAX_DISTANCE = 25
+MAX_DISTANCE = 30
 CHUNK_ERRORS = 1
 SHINGLE_WORDS = 2
 #: Removed rows that are handed to every task; more are joined by a shuffle.

@@ -343,6 +343,20 @@ def test_prefix_sums_are_exact(spark):
         assert got[i] == sums[g]
 
 
+def test_edited_copies_of_short_texts_are_found(spark):
+    """Pairs whose word bigrams have a Jaccard similarity of 76 / 122 = 0.62."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(100):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(123)]
+        rows += [(2 * i, " ".join(words[:100])), (2 * i + 1, " ".join(words[:77] + words[100:]))]
+    groups = defaultdict(set)
+    for r in mh.near_groups(docs_of(spark, rows)).collect():
+        groups[r["group_id"]].add(r["doc_id"])
+    found = [g for g in groups.values() if len(g) > 1]
+    assert len(found) >= 85 and all(len(g) == 2 and min(g) // 2 == max(g) // 2 for g in found)
+
+
 # vectors
 
 
