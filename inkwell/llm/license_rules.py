@@ -20,7 +20,7 @@ MIT-0 | 81 | permission | permission is hereby granted, free of charge, to any p
 ISC | 80 | permission | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
 0BSD | 80 | permission | permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\.
 BSD-2-Clause | 78 | redistribution | redistribution and use in source and binary forms, with or without modification, are permitted provided that
-BSD-3-Clause | 80 | endorse | neither the names? of .{1,120}? nor the names of (?:its|their) contributors may be used to endorse or promote products
+BSD-3-Clause | 80 | endorse | neither the names? of [\s\S]{1,400}? nor the names of (?:its|their) contributors may be used to endorse or promote products
 BSD-4-Clause | 81 | advertising | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 Apache-2.0 | 80 | license,version | licensed under the apache license, version 2\.0 \(the "?license"?\); you may not use this file except in compliance with the license
 Apache-2.0 | 79 | licen | unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an "?as is"? basis
@@ -53,13 +53,13 @@ BSL-1.0 | 80 | permission | permission is hereby granted, free of charge, to any
 Unlicense | 80 | unencumbered | this is free and unencumbered software released into the public domain
 WTFPL | 80 | fuck | you just do what the fuck you want to
 WTFPL | 81 | fuck | do what the fuck you want to public license
-CC0-1.0 | 80 | copyright | to the extent possible under law, .{1,160}? (?:has|have) waived all copyright and related or neighbou?ring rights
+CC0-1.0 | 80 | copyright | to the extent possible under law, [\s\S]{1,400}? (?:has|have) waived all copyright and related or neighbou?ring rights
 Python-2.0 | 80 | python | psf is making python available to licensee on an "?as is"? basis
 Artistic-2.0 | 80 | artistic | you (?:may|can) (?:re)?distribute (?:it|this) and/or modify (?:it|this) under the terms of the artistic license 2\.0
 Perl | 80 | perl | under the same terms as perl(?: itself)?
 OpenSSL | 80 | openssl | this product includes software developed by the openssl project
 SSLeay | 80 | cryptographic | this product includes cryptographic software written by eric young
-NCSA | 80 | restriction | deal with the software without restriction, including without limitation the rights .{1,200}? subject to the following conditions
+NCSA | 80 | restriction | deal with the software without restriction, including without limitation the rights [\s\S]{1,400}? subject to the following conditions
 PostgreSQL | 80 | permission | permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted
 HPND | 80 | permission | permission to use, copy, modify,? and distribute this software and its documentation for any purpose (?:and|with or) without fee is hereby granted
 X11 | 80 | consortium | except as contained in this notice, the name of the x consortium shall not be used in advertising
@@ -231,7 +231,7 @@ UPL-1.0 | 50 | universal,licen | \buniversal permissive licen[cs]e\b
 QPL-1.0 | 50 | public,licen | \bq public licen[cs]e\b
 OFL-1.1 | 50 | font,licen | \b(?:sil )?open font licen[cs]e(?:,? (?:version |v\.? ?)?1\.1)?\b
 LPPL-1.3c | 50 | latex,licen | \blatex project public licen[cs]e(?:,? (?:version |v\.? ?)?1\.3c?)?\b
-NASA-1.3 | 50 | nasa,licen | \bnasa open source agreement\b.{0,60}?licen[cs]e
+NASA-1.3 | 50 | nasa,licen | \bnasa open source agreement\b[\s\S]{0,60}?licen[cs]e
 Intel | 50 | intel,licen | \bintel open source licen[cs]e\b
 RPL-1.5 | 50 | reciprocal,licen | \breciprocal public licen[cs]e\b
 SPL-1.0 | 50 | sun,licen | \bsun public licen[cs]e\b

@@ -472,3 +472,17 @@ def test_hundreds_of_rules_and_their_keywords():
     assert len(RULES) > 250 and len({r.license for r in RULES}) > 90
     assert all(k == k.lower() and " " not in k for r in RULES for k in r.keywords)
     assert all(any(k in r.keywords or any(k in w for w in r.keywords) for k in license_scan._roots()) for r in RULES)
+
+
+def test_gaps_of_license_rules_cross_line_ends():
+    holder = "the University of Somewhere, the Institute of Something Else in Elsewhere,\n    its departments, its laboratories and its members"
+    texts = {
+        "NCSA": "deal with the Software without restriction, including without limitation the\nrights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is furnished\nto do so, subject to the following conditions:",
+        "BSD-3-Clause": f"Neither the names of {holder}\nnor the names of its contributors may be used to endorse or promote products",
+        "CC0-1.0": f"To the extent possible under law, {holder}\nhas waived all copyright and related or neighboring rights",
+        "NASA-1.3": "NASA Open Source Agreement, in\nits third version, a license",
+    }
+    for name, text in texts.items():
+        hits = [text[a:b] for a, b, r in license_scan.scan(text) if r.license == name]
+        assert any(len(h) > 0.9 * len(text) for h in hits), name
+        assert [(a, b, r.number) for a, b, r in license_scan.scan(text)] == brute_scan(text)
