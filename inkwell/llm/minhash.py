@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import picked, tune, written
+from inkwell.llm.components import components
 from inkwell.llm.words import mixed, pieces, split_words
 
 N_HASHES = 64
@@ -202,34 +203,6 @@ def signature_edges(nodes: DataFrame, n_hashes: int, max_distance: int, errors:
     return edges.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); root is the least node of its connected component.
-
-    Large-star and small-star steps alternate until nothing changes; every
-    step's edges are written to the shared folder.
-    """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
-    before = None
-    while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.*")
-            .where("a <> b")
-            .distinct()
-        )
-        now = written(small, "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())
-
-
 def near_groups(
     docs: DataFrame,
     max_distance: int = MAX_DISTANCE,

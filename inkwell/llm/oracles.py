@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkwell.llm import line_dedup, mixing, pivots, sharding, warc
+from inkwell.llm.queries import COPY_IDS
 
 OP1 = f"""
 WITH r AS (
@@ -76,12 +77,27 @@ UNION ALL
 SELECT doc_id, domain, lang, source, n_tokens, CAST(whole AS BIGINT) FROM c WHERE running <= rest
 """
 
-OP2 = f"""
-SELECT a.vec_id AS vec_a, b.vec_id AS vec_b
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-WHERE list_cosine_similarity(a.embedding, b.embedding) >= {pivots.MIN_COSINE}
+
+def _near(vectors: str) -> str:
+    return f"""
+WITH RECURSIVE v AS ({vectors}),
+pair AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding, b.embedding) >= {pivots.MIN_COSINE}),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, p.y FROM reach r JOIN pair p ON r.y = p.x),
+class AS (SELECT x AS vec_id, min(y) AS class_id FROM reach GROUP BY x)
+SELECT vec_id, class_id, (SELECT count(*) FROM pair WHERE x = vec_id) AS n_links FROM class
 """
 
+
+OP2 = _near("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings")
+OP2_COPIED = _near(f"""
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings
+  UNION ALL
+  SELECT vec_id + {COPY_IDS}, CASE WHEN vec_id % 5 = 0 THEN CAST(embedding AS DOUBLE[])
+         ELSE list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * (1 + ((vec_id + i - 1) % 3 - 1) * 0.3::DOUBLE)) END
+  FROM embeddings""")
+
 OP8 = f"""
 WITH p AS (
   SELECT page_id, url, hex(encode(coalesce(html, ''))) AS h,
@@ -100,4 +116,4 @@ SELECT '<urn:uuid:' || k[1:8] || '-' || k[9:12] || '-' || k[13:16] || '-' || k[1
 FROM c
 """
 
-ORACLES = {"op1_sharding": OP1, "op2_embedding_near_dedup": OP2, "op5_source_mixing": OP5, "op7_line_dedup": OP7, "op8_warc": OP8}
+ORACLES = {"op1_sharding": OP1, "op2_embedding_near_dedup": OP2, "op2_embedding_near_dedup_copied": OP2_COPIED, "op5_source_mixing": OP5, "op7_line_dedup": OP7, "op8_warc": OP8}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.llm.decontaminate import contaminated
 from inkwell.llm.langid import identify
@@ -15,6 +16,9 @@ from inkwell.llm.quality import score_quality
 from inkwell.llm.sharding import assign_shards
 from inkwell.llm.warc import chunk_pages, portable
 
+#: What is added to a vector's id for its copy.
+COPY_IDS = 1_000_000_000_000
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +29,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(_table(spark, sf_dir, "embeddings")).select("vec_a", "vec_b")
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_embedding_near_dedup_copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the vectors and a copy of each: every fifth copy is equal, the others have their numbers scaled by 0.7, 1 and 1.3 in turn."""
+    own = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scaled = F.transform("embedding", lambda x, i: x.cast("double") * (1 + (F.pmod(F.col("vec_id") + i, F.lit(3)) - 1) * F.lit(0.3)))
+    copy = own.select((F.col("vec_id") + COPY_IDS).alias("vec_id"), F.when(F.col("vec_id") % 5 == 0, F.col("embedding").cast("array<double>")).otherwise(scaled).alias("embedding"))
+    return near_vectors(own.withColumn("embedding", F.col("embedding").cast("array<double>")).union(copy))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +77,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_near_dedup, op3_minhash_near_dedup, op4_decontamination, op5_source_mixing, op6_quality_classifier, op7_line_dedup, op7_line_dedup_by_length, op8_warc, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_embedding_near_dedup, op2_embedding_near_dedup_copied, op3_minhash_near_dedup, op4_decontamination, op5_source_mixing, op6_quality_classifier, op7_line_dedup, op7_line_dedup_by_length, op8_warc, op9_language_id, op10_license_scan)}
