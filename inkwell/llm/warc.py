@@ -4,6 +4,8 @@ Files are read as a stream: a record's payload is never held as a whole, but cut
 into rows of at most ``chunk_bytes`` bytes, each with the record's identifier,
 its chunk number, and the SHA-256 digest of the payload so far. The digest of
 the last chunk is that of the whole payload. Arrow batches are bounded in bytes.
+Whatever a file holds, its bytes come out as rows: what isn't a record, or breaks
+off, is marked and never ends the job.
 
 The writer puts each partition into a file of one gzip member a record. A task's
 file has a name of its own attempt, and only files of finished tasks get into
@@ -13,37 +15,39 @@ the manifest, so lost executors and repeated tasks leave no doubles.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import picked, shared_dir, tune, written
+from inkwell.llm.common import open_fs, picked, shared_dir, tune, written
 
 CHUNK_BYTES = 32 * 1024
 READ_BYTES = 64 * 1024
 BATCH_BYTES = 4 * 1024 * 1024
-#: Longest header line or block of HTTP headers that is accepted.
+#: Header lines, and blocks of HTTP headers, are held up to this size; what is longer isn't taken for a header.
 MAX_HEADER = 1024 * 1024
+#: Bytes of small files that one task reads.
+TASK_BYTES = 256 * 1024 * 1024
+#: The warc_type of bytes where a record should begin.
+MALFORMED = "malformed"
 CHUNKS = "record_id string, warc_type string, target_uri string, chunk_no int, chunk_offset long, n_bytes int, chunk binary, digest string, is_last boolean, complete boolean"
 _ARROW = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("chunk_no", pa.int32()), ("chunk_offset", pa.int64()), ("n_bytes", pa.int32()), ("chunk", pa.binary()), ("digest", pa.string()), ("is_last", pa.bool_()), ("complete", pa.bool_())])
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 class Source:
-    """Bytes of a plain file or of any number of gzip members, never more than a block ahead."""
+    """Bytes of a plain file or of any number of gzip members, never more than a block ahead.
+
+    Damaged gzip data end what can be read, until :meth:`resume` goes on with the
+    next member.
+    """
 
     def __init__(self, file):
-        self.file, self.buffer, self.inflate, self.raw = file, b"", None, b""
+        self.file, self.buffer, self.inflate, self.broken = file, b"", None, False
         self.raw = file.read(READ_BYTES)
         self.packed = self.raw[:2] == b"\x1f\x8b"
 
@@ -53,7 +57,7 @@ class Source:
             data, self.raw = self.raw or self.file.read(READ_BYTES), b""
             self.buffer += data
             return bool(data)
-        while True:
+        while not self.broken:
             if self.inflate is None or self.inflate.eof:
                 rest = self.inflate.unused_data if self.inflate is not None else b""
                 self.raw = rest + self.raw
@@ -68,20 +72,34 @@ class Source:
                 raw = raw or self.file.read(READ_BYTES)
                 if not raw:
                     return False
-            data = self.inflate.decompress(raw, READ_BYTES)
+            try:
+                data = self.inflate.decompress(raw, READ_BYTES)
+            except zlib.error:
+                self.broken, self.raw = True, raw[1:] + self.raw
+                break
             if data:
                 self.buffer += data
                 return True
+        return False
+
+    def resume(self) -> None:
+        """After damaged data, go to the next gzip member."""
+        self.broken, self.inflate, self.buffer = False, None, b""
+        while (at := self.raw.find(b"\x1f\x8b\x08")) < 0:
+            more = self.file.read(READ_BYTES)
+            if not more:
+                self.raw = b""
+                return
+            self.raw = self.raw[-2:] + more
+        self.raw = self.raw[at:]
 
-    def line(self) -> bytes:
-        """The next line with its end; empty at the end of the file."""
+    def line(self, most: int = MAX_HEADER) -> bytes:
+        """The next line with its end, or its first ``most`` bytes; empty at the end of the file."""
         seen = 0
-        while (at := self.buffer.find(b"\n", seen)) < 0:
+        while (at := self.buffer.find(b"\n", seen, most)) < 0:
             seen = len(self.buffer)
-            if seen > MAX_HEADER:
-                raise ValueError("a header line is too long")
-            if not self._more():
-                at = len(self.buffer) - 1
+            if seen >= most or not self._more():
+                at = min(len(self.buffer), most) - 1
                 break
         out, self.buffer = self.buffer[: at + 1], self.buffer[at + 1 :]
         return out
@@ -93,48 +111,129 @@ class Source:
         out, self.buffer = self.buffer[:n], self.buffer[n:]
         return out
 
+    def unread(self, data: bytes) -> None:
+        self.buffer = data + self.buffer
+
+
+def _to_next(source: Source) -> Iterator[bytes]:
+    """Everything before the next line that begins a record, in pieces."""
+    start = True
+    while line := source.line(READ_BYTES):
+        if start and line.startswith(b"WARC/"):
+            source.unread(line)
+            return
+        start = line.endswith(b"\n")
+        yield line
+
+
+def _parts(source: Source, left: int, chunk_bytes: int) -> Iterator[bytes]:
+    while left and (data := source.read(min(chunk_bytes, left))):
+        left -= len(data)
+        yield data
+
+
+def _head_of(source: Source) -> tuple[dict[str, str] | None, bytes]:
+    """The fields of a record's head, null if it doesn't end as one, and its bytes."""
+    head: dict[str, str] = {}
+    raw = b""
+    while len(raw) < MAX_HEADER:
+        line = source.line(MAX_HEADER - len(raw))
+        raw += line
+        if not line.endswith(b"\n"):
+            break
+        if not line.strip():
+            return head, raw
+        name, _, value = line.decode("utf-8", "replace").partition(":")
+        head.setdefault(name.strip().lower(), value.strip())
+    return None, raw
+
+
+def _http_head(source: Source, left: int) -> tuple[bytes, bool]:
+    """The HTTP head's bytes of a block of ``left`` bytes, and whether a blank line ends it."""
+    head = b""
+    while len(head) < min(left, MAX_HEADER):
+        line = source.line(min(left, MAX_HEADER) - len(head))
+        head += line
+        if not line.strip() and line.endswith(b"\n"):
+            return head, True
+        if not line:
+            break
+    return head, False
+
+
+def _rechunked(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
+    """The same bytes in chunks of ``size``; one of 0 bytes if there are none."""
+    held, any_ = b"", False
+    for part in parts:
+        held += part
+        while len(held) > size:
+            yield held[:size]
+            held, any_ = held[size:], True
+    if held or not any_:
+        yield held
+
+
+def _rows(identity: tuple, parts: Iterator[bytes], expected: int, chunk_bytes: int) -> Iterator[tuple]:
+    """A record's rows; it is complete if its payload has the ``expected`` bytes."""
+    digest, offset = hashlib.sha256(), 0
+    chunks = _rechunked(parts, chunk_bytes)
+    now, number = next(chunks), 0
+    while now is not None:
+        after = next(chunks, None)
+        digest.update(now)
+        last = after is None
+        yield (*identity, number, offset, len(now), now, digest.hexdigest(), last, last and offset + len(now) == expected)
+        offset += len(now)
+        now, number = after, number + 1
+
 
 def chunks_of(file, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
     """Rows of ``CHUNKS`` for all records of an open WARC file."""
     source = Source(file)
-    while line := source.line():
+    while True:
+        line = source.line(READ_BYTES)
+        if not line:
+            if not source.broken:
+                return
+            source.resume()
+            continue
         if not line.strip():
             continue
+        source.unread(line)
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record where one should begin: {line[:60]!r}")
-        head: dict[str, str] = {}
-        while (line := source.line()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
-        left = int(head.get("content-length", "0"))
-        if head.get("warc-type") == "response" and head.get("content-type", "").startswith("application/http"):
-            used = 0
-            while used < left:
-                line = source.line()
-                used += len(line)
-                if not line or not line.strip():
-                    break
-            left = max(0, left - used)
-        digest, number, offset = hashlib.sha256(), 0, 0
-        while True:
-            data = source.read(min(chunk_bytes, left))
-            digest.update(data)
-            left -= len(data)
-            cut = bool(left) and (not data or len(data) < chunk_bytes)
-            yield (head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), number, offset, len(data), data, digest.hexdigest(), cut or not left, not left)
-            if cut or not left:
-                break
-            number, offset = number + 1, offset + len(data)
+            yield from _rows((None, MALFORMED, None), _to_next(source), -1, chunk_bytes)
+            continue
+        head, raw = _head_of(source)  # its version line is no field
+        if head is None:
+            yield from _rows((None, MALFORMED, None), itertools.chain([raw], _to_next(source)), -1, chunk_bytes)
+            continue
+        identity = (head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"))
+        length = head.get("content-length", "0")
+        if not (length.isascii() and length.isdigit() and len(length) < 19):
+            yield from _rows(identity, _to_next(source), -1, chunk_bytes)
+            continue
+        left, first, whole = int(length), b"", True
+        if left and head.get("warc-type") == "response" and head.get("content-type", "").startswith("application/http"):
+            first, whole = _http_head(source, left)
+            left -= len(first)
+        payload = _parts(source, left, chunk_bytes)
+        yield from _rows(identity, payload if whole else itertools.chain([first], payload), left if whole else -1, chunk_bytes)
 
 
 def read_warc(spark: SparkSession, paths: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunk table (``CHUNKS``) of the files whose paths are in ``paths`` (path).
 
-    An empty payload is one chunk of 0 bytes. A file that ends within a record
-    gives what there is, marked ``complete`` = false. Missing header fields are
-    null. Records that repeat an identifier give their rows each. An empty file
-    gives no rows; bytes that aren't a record raise ValueError. Null paths are
-    left out.
+    An empty payload is one chunk of 0 bytes, and payloads of any length are
+    streamed. Marked ``complete`` = false, with all bytes that there are: records
+    within which a file or an undamaged stretch of gzip data ends; those without a
+    numeric length (up to the next record); ``application/http`` responses whose
+    head has no end (head included). Bytes where a record should begin, up to the
+    next one, have ``warc_type`` = "malformed" and are not complete. Missing header
+    fields are null, a missing length is 0; of a repeated field the first counts.
+    Records that repeat an identifier give their rows each. An empty file or table gives no
+    rows. Null paths are left out; a path that doesn't exist raises. With a column
+    ``n_bytes`` small files share a task. Other columns are ignored, whatever their
+    names.
     """
     tune(spark)
 
@@ -155,8 +254,16 @@ def read_warc(spark: SparkSession, paths: DataFrame, chunk_bytes: int = CHUNK_BY
                 if rows:
                     yield _batch(rows)
 
-    files = picked(paths, path="path")
-    return files.repartition(max(1, files.count()), "path").mapInArrow(read, CHUNKS)
+    names = {"path": "path"} | ({"n_bytes": "n_bytes"} if "n_bytes" in paths.columns else {})
+    files = picked(paths, **names).where("path IS NOT NULL")
+    n, total = files.agg(F.count(F.lit(1)), F.sum("n_bytes") if "n_bytes" in names else F.lit(None).cast("long")).first()
+    # files in order of size, so that each task reads about as much
+    share = max(1, min(TASK_BYTES, (total or 0) // (4 * spark.sparkContext.defaultParallelism)))
+    size = F.coalesce("n_bytes", F.lit(share)) if "n_bytes" in names else F.lit(share)
+    before = F.sum("size").over(Window.orderBy(F.desc("size"), "path").rowsBetween(Window.unboundedPreceding, -1))
+    placed = files.select("path", size.alias("size")).withColumn("task", F.floor(F.coalesce(before, F.lit(0)) / share).cast("int"))
+    tasks = max(1, min(n, ((total if total is not None else n * share) + share - 1) // share))
+    return placed.repartitionById(int(tasks), F.col("task") % int(tasks)).select("path").mapInArrow(read, CHUNKS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
