@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """The filesystem of a path or URI, and the path in it."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it is computed once, and its lineage ends there."""
     spark = df.sparkSession

@@ -1,7 +1,8 @@
 """Vectorised splitting of texts into hashed words.
 
 A word is a run of letters, digits and marks of any script, lower-cased; all
-else separates. Everything works on arrays of code points, so positions are
+else separates. In scripts that are written without blanks (Han, kana, Thai, Lao,
+Burmese, Khmer) each character is a word. Everything works on arrays of code points, so positions are
 character positions in the original text.
 """
 
@@ -31,6 +32,23 @@ def fold_table() -> np.ndarray:
     return fold
 
 
+#: Code points of scripts without blanks between words.
+_UNSPACED = np.array([(0x0E01, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x33480)], np.uint32)
+
+
+def _edges(points: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; the last point belongs to none."""
+    if not len(points) or points.max() < _UNSPACED[0, 0]:
+        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+        return edges[0::2], edges[1::2]
+    at = np.searchsorted(_UNSPACED[:, 0], points, side="right") - 1
+    single = inside & (at >= 0) & (points <= _UNSPACED[at, 1])
+    split = np.zeros(len(points) + 1, bool)  # a word may not go on from the point before to this one
+    split[1:-1] = single[1:] | single[:-1] | ~inside[1:] | ~inside[:-1]
+    split[0] = split[-1] = True
+    return np.flatnonzero(inside & split[:-1]), np.flatnonzero(inside & split[1:]) + 1
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -57,31 +75,32 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The words of several texts: hashes, character spans over the joined texts, and where each text's words begin."""
+    """The words of several texts: hashes, character spans over the joined texts, where each text's words begin, and the line feeds."""
 
     hashes: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     first: np.ndarray
     text_begin: np.ndarray
+    feeds: np.ndarray
 
 
 def split_words(texts: list[str]) -> Words:
     points, text_begin = code_points(texts)
     folded = fold_table()[points]
     inside = folded != 0
-    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))  # the last point is a line feed
-    begin, end = edges[0::2], edges[1::2]
+    begin, end = _edges(points, inside)  # the last point is a line feed
+    feeds = np.flatnonzero(points == 10)
     first = np.searchsorted(begin, text_begin)
     if not len(begin):
-        return Words(np.zeros(0, np.uint64), begin, end, first, text_begin)
+        return Words(np.zeros(0, np.uint64), begin, end, first, text_begin, feeds)
     chars = folded[inside].astype(np.uint64)
     length = end - begin
     at = np.cumsum(length) - length
     place = np.arange(len(chars)) - np.repeat(at, length)
     power = _powers(max(8, int(length.max()).bit_length()))
     hashes = np.add.reduceat((chars * _M2 ^ (chars << np.uint64(17))) * power[place], at)
-    return Words(mixed(hashes + length.astype(np.uint64)), begin, end, first, text_begin)
+    return Words(mixed(hashes + length.astype(np.uint64)), begin, end, first, text_begin, feeds)
 
 
 def pieces(texts: list[str], chars: int = PIECE_CHARS):
