@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import order_key, picked, tune
+from inkwell.llm.common import key_bucket, order_key, picked, tune
 from inkwell.llm.words import fold_table
 
 #: Dimensions of the hashed n-grams.
@@ -31,6 +31,8 @@ TRAIN_ROWS = 1_500
 EPOCHS = 3
 SEED = "language-1"
 _PIECE = 1 << 20
+#: First bits of a seeded key by which ids are counted.
+_KEY_BITS = 16
 
 
 def ngram_counts(text: str) -> np.ndarray:
@@ -174,15 +176,30 @@ def _counted():
     return F.arrow_udf(count, "struct<dims:binary,logs:binary>").asNondeterministic()
 
 
+def drawn_ids(ids: DataFrame, per_language: int, seed: str) -> DataFrame:
+    """(doc_id, lang, key): the ``per_language`` distinct ids of each language that come first in a seeded order.
+
+    The ids are counted by the first bits of their keys; only those in the first
+    parts, which hold enough, are sorted.
+    """
+    labelled = ids.where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    keyed = labelled.withColumn("key", order_key(seed, F.col("doc_id")))
+    part = key_bucket(F.col("key"), _KEY_BITS)
+    found = keyed.select("lang", "doc_id", part.alias("part")).distinct().groupBy("lang", "part").agg(F.count(F.lit(1)).alias("ids"))
+    so_far = F.sum("ids").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = found.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < per_language).groupBy("lang").agg(F.max("part").alias("bound"))
+    near = keyed.withColumn("part", part).join(F.broadcast(wanted), "lang").where("part <= bound").select("doc_id", "lang", "key").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
+
+
 def fit(docs: DataFrame, label_col: str = "lang", per_language: int = TRAIN_ROWS, seed: str = SEED) -> Model:
     """A model from at most ``per_language`` seeded rows of each language; a fifth of them set the temperature."""
     rows = picked(docs, doc_id="doc_id", text="text", lang=label_col)
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    key = order_key(seed, F.col("doc_id"))
-    ids = picked(docs, doc_id="doc_id", lang=label_col).where("lang IS NOT NULL AND doc_id IS NOT NULL").distinct()
-    ids = ids.withColumn("key", key).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("nth") <= per_language)
-    drawn = rows.join(F.broadcast(ids.drop("nth")), ["doc_id", "lang"]).select("lang", "key", "text", _counted()(F.col("text")).alias("c"))
+    drawn = rows.join(F.broadcast(drawn_ids(picked(docs, doc_id="doc_id", lang=label_col), per_language, seed)), ["doc_id", "lang"])
+    drawn = drawn.select("lang", "key", "text", _counted()(F.col("text")).alias("c"))
     # texts become numbers where they are, so long ones don't reach the driver; of several texts of an id the first in order counts
     sample = drawn.groupBy("lang", "key").agg(F.min_by("c", F.coalesce("text", F.lit(""))).alias("c")).select("lang", "key", "c.*").toPandas()
     sample = sample.sort_values(["key", "lang"])
@@ -208,8 +225,8 @@ def identify(docs: DataFrame, label_col: str = "lang", per_language: int = TRAIN
     ``confidence`` is the calibrated probability of ``language``. Ties go to
     the first language by name. A null or empty text, or one without letters,
     has no evidence: language is null and confidence 0. The same goes for all
-    rows if no row has a label. Rows that repeat an id or a text are predicted
-    each on their own. An empty table gives no rows. Other columns are ignored,
+    rows if no row has a label. Very long texts are counted whole, piece by piece.
+    Rows that repeat an id or a text are predicted each on their own. An empty table gives no rows. Other columns are ignored,
     whatever their names.
     """
     tune(docs.sparkSession)
