@@ -237,6 +237,63 @@ def test_forest_connects_what_pairs_connect():
     assert components_of(80, mh.forest(sig, 4)) == components_of(80, pairs)
 
 
+@pytest.mark.parametrize("key_rows", [8, 40, 8_000])
+def test_hot_keys_connect_what_pairs_connect(spark, key_rows):
+    """Keys that hundreds of unlike signatures share, crowds of near copies, and chains between them."""
+    rng = np.random.default_rng(key_rows)
+    sig = rng.integers(0, 65536, (900, 64)).astype(np.uint16)
+    sig[:400, 0:4] = 7  # a chunk in common, unlike else
+    for i in range(0, 200, 4):
+        sig[i + 1] = sig[i]
+        sig[i + 1, rng.choice(64, rng.integers(20, 34), replace=False)] ^= np.uint16(1)
+    sig[400:700] = sig[400]  # a crowd
+    for i in range(401, 700):
+        sig[i, rng.choice(64, rng.integers(1, 28), replace=False)] ^= np.uint16(rng.integers(1, 99))
+    for i in range(700, 760):  # a chain out of it
+        sig[i] = sig[i - 1] if i > 700 else sig[650]
+        sig[i, rng.choice(64, 20, replace=False)] ^= np.uint16(3)
+    pairs = [(i, j) for i in range(900) for j in np.flatnonzero(np.count_nonzero(sig[:i] != sig[i], axis=1) <= 30)]
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "node long, sig binary")
+    found = [tuple(r) for r in mh.signature_edges(nodes, 64, 30, 1, key_rows).collect()]
+    assert components_of(900, found) == components_of(900, pairs)
+    assert all(a < b for a, b in found)
+
+
+def test_a_key_of_twenty_thousand_unlike_signatures(spark):
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 65536, (20_000, 64)).astype(np.uint16)
+    sig[:, 8:12] = 1
+    for i in range(0, 200, 2):
+        sig[i + 1] = sig[i]
+        sig[i + 1, rng.choice(np.r_[:8, 12:64], 30, replace=False)] ^= np.uint16(9)
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sig)], "node long, sig binary").repartition(8)
+    found = {tuple(r) for r in mh.signature_edges(nodes, 64, 30, 1).collect()}
+    assert found == {(i, i + 1) for i in range(0, 200, 2)}
+
+
+def test_runs_over_batches():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        keys = np.sort(rng.integers(0, 12, rng.integers(0, 60)))
+        cuts = np.sort(rng.integers(0, len(keys) + 1, 5))
+        parts = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v, pa.int64())], names=["key", "node"]) for k, v in zip(np.split(keys, cuts), np.split(np.arange(len(keys)), cuts))]
+        count = Counter(keys.tolist())
+        got = [r for b in mh._meeting(iter(parts), 4) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(got, key=lambda r: r[1]) == [(k, i, count[k] > 4) for i, k in enumerate(keys.tolist()) if count[k] > 1]
+        groups = [t.column("key").to_pylist() for t in mh._grouped(iter(parts), "key")]
+        assert sum(groups, []) == keys.tolist() and all(not set(a) & set(b) for a, b in zip(groups, groups[1:]))
+
+
+def test_ids_of_any_type_and_both_joins(spark):
+    texts = near_texts(3)
+    rows = [(f"d{i:04d}", t) for i, t in enumerate(texts + texts[:5])] + [(None, texts[0]), (None, "of its own"), ("d0000", texts[0])]
+    frame = clashing(spark.createDataFrame(rows, "doc_id string, text string"))
+    groups = mh.near_groups(frame).collect()
+    assert {r["group_id"] for r in groups} <= {r["doc_id"] for r in groups} and [r["kept"] for r in groups].count(True) == len({r["group_id"] for r in groups})
+    small, large = (rows_of(mh.drop_near_copies(frame, broadcast_rows=n)) for n in (500_000, 0))
+    assert small == large and len(small) == len(rows) - len(groups) + len({r["group_id"] for r in groups})
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = dict(map(tuple, mh.components(spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")).collect()))
@@ -583,8 +640,70 @@ def test_warc_files_share_tasks_by_size(spark, tmp_path):
 
 
 def brute_scan(text):
-    found = [(m.start(), m.end(), r) for r in RULES for m in re.finditer(r.pattern, text, re.I | re.A)]
-    return [(a, b, r.number) for a, b, r in license_scan.resolved(found)]
+    """Every pattern over the whole text; a detection stands unless one that comes before it in the order holds it, or overlaps it with a higher priority."""
+    found = [(m.start(), m.end(), r.priority, r.number) for r in RULES for m in re.finditer(r.pattern, text, re.I | re.A) if m.end() > m.start()]
+    order = sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3]))
+    stands = [True] * len(order)
+    for i, (a, b, p, _) in enumerate(order):
+        for j in range(i):
+            x, y, q, _ = order[j]
+            inside, across = x <= a and b <= y, max(a, x) < min(b, y) and q > p
+            if stands[j] and (inside or across):
+                stands[i] = False
+                break
+    return [(a, b, n) for (a, b, _, n), ok in zip(order, stands) if ok]
+
+
+def sample_of(parsed, rng):
+    """A text that a parsed pattern matches, but for what lies around it."""
+    out = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "NOT_LITERAL":
+            out.append("x" if arg != ord("x") else "y")
+        elif name == "ANY":
+            out.append("x")
+        elif name == "IN":
+            kind, value = arg[0]
+            if str(kind) == "NEGATE":
+                out.append("x")
+            elif str(kind) == "RANGE":
+                out.append(chr(value[0]))
+            elif str(kind) == "CATEGORY":
+                out.append({"CATEGORY_DIGIT": "2", "CATEGORY_SPACE": " ", "CATEGORY_WORD": "a"}.get(str(value), "x"))
+            else:
+                out.append(chr(value))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            lo, hi, inner = arg
+            out.append("".join(sample_of(inner, rng) for _ in range(max(lo, min(hi, rng.choice((lo, lo + 1)))))))
+        elif name == "SUBPATTERN":
+            out.append(sample_of(arg[3], rng))
+        elif name == "BRANCH":
+            out.append(sample_of(rng.choice(arg[1]), rng))
+    return "".join(out)
+
+
+def test_each_rule_finds_a_text_of_its_own():
+    """A text is made from each pattern; the rule, or one that stands before it, covers it, and keywords don't gate it out."""
+    import re._parser as parser
+
+    rng = random.Random(12)
+    alone = set()
+    for rule in RULES:
+        made = [sample_of(parser.parse(rule.pattern, re.I | re.A), rng) for _ in range(40)]
+        made = [(t, m) for t in made if (m := re.search(rule.pattern, t, re.I | re.A)) and m.group()][:4]
+        assert made, rule
+        for text, whole in made:
+            assert rule in license_scan.candidates(text), (rule, text)
+            got = [(a, b, r.number) for a, b, r in license_scan.scan(f"{text}\n")]
+            assert sorted(got) == sorted(brute_scan(f"{text}\n")), rule
+            assert any(a < whole.end() and whole.start() < b for a, b, _ in got)
+            if any(n == rule.number for _, _, n in got):
+                alone.add(rule.number)
+    hidden = [r for r in RULES if r.number not in alone]
+    assert len(hidden) < len(RULES) // 10, [(r.license, r.pattern) for r in hidden]
 
 
 def test_license_gates_change_nothing(spark):
