@@ -3,42 +3,26 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.runtime import ship
+from inkwell.runtime import shared_dir, ship, written  # noqa: F401
 
 #: Rows that one ordered bucket of :func:`with_prefix` holds on average.
 BUCKET_ROWS = 50_000
-#: Documents in one Arrow batch, so that a batch of very long texts still fits in memory.
-ARROW_ROWS = 1_000
+#: Documents in one Arrow batch, and its bytes, so that a batch of very long texts still fits in memory.
+ARROW_ROWS, ARROW_BYTES = 1_000, 16 * 1024 * 1024
 
 
 def tune(spark: SparkSession) -> None:
-    """Send the package to the workers, and lower the rows of an Arrow batch to ``ARROW_ROWS`` where the session has Spark's default."""
+    """Send the package to the workers, and bound Arrow batches in rows and bytes where the session has no setting of its own."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) == 10_000:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = sc.getConf().get("inkwell.own.dir") or tempfile.mkdtemp(prefix="inkwell-")
-        sc.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path)
-    return path
+    for name, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -48,14 +32,6 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it is computed once, and its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names, whatever else ``df`` holds.
 

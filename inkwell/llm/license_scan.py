@@ -105,7 +105,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ``rule`` is the rule's number in the table, ``start`` and ``end`` are
     character positions in the text and ``matched`` is what stands there.
 
-    Null and empty texts have no detections, and so give no rows. Rows that
+    Null and empty texts have no detections, and so give no rows. Very long texts
+    are scanned whole. Rows that
     repeat an id give their rows each. Null ids are kept. An empty table gives
     no rows. Other columns are ignored, whatever their names.
     """

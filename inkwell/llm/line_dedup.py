@@ -65,7 +65,7 @@ def dedup_lines(
 
     Every row counts as a document of its own, also where ids or whole rows
     repeat; a line that repeats within a row counts once. Blank lines are never
-    counted or dropped. A null text stays null, with 0 lines; a text that loses
+    counted or dropped. Very long texts are looked through whole. A null text stays null, with 0 lines; a text that loses
     all its lines becomes the empty text. Null ids are kept. An empty table
     gives no rows. Other columns are ignored, whatever their names.
 

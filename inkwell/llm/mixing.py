@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import bucket_bits, key_bucket, order_key, picked, with_prefix, written
+from inkwell.llm.common import bucket_bits, key_bucket, picked, with_prefix, written
 
 SEED = "mix-1"
 
@@ -47,6 +47,8 @@ class Mixture:
 
 
 MIXTURE = Mixture()
+#: Leaves whose plan is handed to every task.
+BROADCAST_LEAVES = 200_000
 
 
 def _case(column: str, values: dict[str, str | int], other: str | int) -> str:
@@ -122,19 +124,32 @@ def _leafed(docs: DataFrame, mixture: Mixture) -> DataFrame:
     return rows.withColumn("domain", F.expr(domain_sql(mixture)))
 
 
-def _chosen(docs: DataFrame, mixture: Mixture, seed: str) -> DataFrame:
-    """(doc_id, content, domain, lang, source, n_tokens, epoch, whole): whole is false in the epoch that is cut."""
+LEAF = ["domain", "lang", "source"]
+#: The order of a leaf's documents in the epoch that is cut.
+ORDER = ["key", "doc_id", "n_tokens", "content"]
+
+
+def _planned(docs: DataFrame, mixture: Mixture, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Documents without texts, and the leaves' whole epochs ``full`` with the tokens ``left`` for the cut one."""
     rows = written(_leafed(docs, mixture), "mix-tokens")
-    budgets = written(leaf_budgets(rows, mixture), "mix-budgets")
-    spent = budgets.select("domain", "lang", "source", F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("left"))
-    planned = rows.join(spent, ["domain", "lang", "source"])
-    whole = planned.where("full > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("epoch"))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    part = planned.where("left > 0").withColumns({"key": key, "epoch": F.col("full")})
+    budgets = leaf_budgets(rows, mixture)
+    return rows, written(budgets.select(*LEAF, F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("left")), "mix-budgets")
+
+
+def _cut_key(seed: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def _by_leaf(rows: DataFrame, leaves: DataFrame, most: int) -> DataFrame:
+    """``rows`` with the columns of ``leaves``, without a shuffle where these are at most ``most``."""
+    return rows.join(F.broadcast(leaves) if leaves.count() <= most else leaves, LEAF)
+
+
+def _cut(rows: DataFrame, spent: DataFrame, seed: str, most: int) -> DataFrame:
+    """The documents of each leaf's cut epoch in its seeded order, with the tokens up to each as ``sum``."""
+    part = _by_leaf(rows, spent.where("left > 0"), most).withColumn("key", _cut_key(seed))
     part = part.withColumn("bucket", key_bucket(F.col("key"), bucket_bits(rows.count())))
-    part = with_prefix(part, ["domain", "lang", "source"], "bucket", [F.col("key"), F.col("doc_id"), F.col("n_tokens"), F.col("content")], F.col("n_tokens"), "sum")
-    columns = ["doc_id", "content", "domain", "lang", "source", "n_tokens", "epoch"]
-    return whole.select(*columns, F.lit(True).alias("whole")).unionByName(part.where(F.col("sum") <= F.col("left")).select(*columns, F.lit(False).alias("whole")))
+    return with_prefix(part, LEAF, "bucket", [F.col(c) for c in ORDER], F.col("n_tokens"), "sum")
 
 
 def mix(docs: DataFrame, mixture: Mixture = MIXTURE, seed: str = SEED) -> DataFrame:
@@ -142,30 +157,53 @@ def mix(docs: DataFrame, mixture: Mixture = MIXTURE, seed: str = SEED) -> DataFr
 
     Null languages and sources are leaves named ``(none)``. Texts that are null,
     empty or blank have no tokens; they come with whole epochs, and in the last
-    epoch where the order puts them within the prefix. A leaf without any token
-    is left out. Rows that repeat an id are documents of their own. Null ids are
-    kept. An empty table gives no rows. Other columns are ignored, whatever
-    their names.
+    epoch where the order puts them within the prefix. Very long texts count
+    with all their tokens. A leaf without any token is left out. Rows that repeat
+    an id are documents of their own. Null ids are kept. An empty table gives no
+    rows. Other columns are ignored, whatever their names.
     """
-    return _chosen(docs, mixture, seed).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
-
-
-def mix_documents(docs: DataFrame, mixture: Mixture = MIXTURE, seed: str = SEED) -> DataFrame:
-    """``docs`` as mixed: each row as often as it was chosen, possibly never.
-
-    Choices are matched by (doc_id, hash of the text, language, source); of rows
-    that are equal in all of these as many come out as were chosen.
+    rows, spent = _planned(docs, mixture, seed)
+    columns = ["doc_id", *LEAF, "n_tokens", "epoch"]
+    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("epoch")
+    whole = _by_leaf(rows, spent.where("full > 0"), BROADCAST_LEAVES).select("doc_id", *LEAF, "n_tokens", epochs)
+    part = _cut(rows, spent, seed, BROADCAST_LEAVES).where("sum <= left").withColumn("epoch", F.col("full"))
+    return whole.select(*columns).unionByName(part.select(*columns))
+
+
+def mix_documents(docs: DataFrame, mixture: Mixture = MIXTURE, seed: str = SEED, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
+    """``docs`` as mixed by :func:`mix`: each row as often as it was chosen, possibly never.
+
+    What a leaf takes of its cut epoch is a prefix of a seeded order, so the last
+    document taken tells for each row whether it is in, and no text is moved. Of
+    rows that are equal in id, text and leaf, and at the very end of the prefix, as
+    many come out as were chosen. Null, empty and very long texts, null ids, repeated
+    rows and empty tables are as in :func:`mix`; columns of any other name are kept.
+    Up to ``broadcast_leaves`` leaves are handed to all tasks, more are joined.
     """
+    rows, spent = _planned(docs, mixture, seed)
+    part = _cut(rows, spent, seed, broadcast_leaves).select(*LEAF, F.struct(*ORDER).alias("at"), (F.col("sum") <= F.col("left")).alias("taken"))
+    part = written(part, "mix-order")
+    last = written(part.where("taken").groupBy(*LEAF).agg(F.max("at").alias("last")), "mix-last")
+    equal = _by_leaf(part, last, broadcast_leaves).where("at = last").groupBy(*LEAF).agg(F.count(F.lit(1)).alias("alike"), F.count_if("taken").alias("some"))
+    plan = written(spent.join(last, LEAF, "left").join(equal, LEAF, "left"), "mix-plan")
     names = docs.columns
     at = {n: F.col(f"__c{names.index(n)}") for n in ("doc_id", "text", "lang", "source")}
     raw = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     nothing = F.lit("(none)")
-    raw = raw.withColumns({"__id": F.coalesce(at["doc_id"].cast("string"), F.lit("null")), "__content": F.xxhash64(at["text"]), "__lang": F.coalesce(at["lang"], nothing), "__source": F.coalesce(at["source"], nothing)})
-    same = ["__id", "__content", "__lang", "__source"]
-    chosen = _chosen(docs, mixture, seed).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.col("content").alias("__content"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), "epoch")
-    nth = Window.partitionBy(*same, "epoch").orderBy(F.lit(1))
-    # the n-th use of equal rows in an epoch goes to the n-th of them
-    uses = chosen.withColumn("__nth", F.row_number().over(nth)).groupBy(*same, "__nth").agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    rows = raw.withColumn("__nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
-    joined = rows.join(uses, [*same, "__nth"]).withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return joined.select(*[F.col(f"__c{i}").alias(n) for i, n in enumerate(names)])
+    raw = raw.withColumns({"doc_id": at["doc_id"], "lang": F.coalesce(at["lang"], nothing), "source": F.coalesce(at["source"], nothing)})
+    placed = _by_leaf(raw.withColumn("domain", F.expr(domain_sql(mixture))), plan, broadcast_leaves).withColumn("key", _cut_key(seed))
+    # texts are only looked at where the key is that of the last document
+    end, place = F.col("last.key"), F.struct("key", "doc_id", token_count(at["text"]).alias("n_tokens"), F.xxhash64(at["text"]).alias("content"))
+    taken = F.when(end.isNull() | (F.col("key") > end), F.lit(False)).when(F.col("key") < end, F.lit(True)).otherwise(place <= F.col("last"))
+    split = F.when(end.isNull() | (F.col("key") != end), F.lit(False)).otherwise((place == F.col("last")) & (F.col("some") < F.col("alike")))
+    kept = [F.col(f"__c{i}").alias(n) for i, n in enumerate(names)]
+    use = F.explode(F.sequence(F.lit(1), F.col("times")))
+    out = placed.where(~split).withColumn("times", F.col("full").cast("int") + taken.cast("int")).where("times > 0").withColumn("use", use)
+    if plan.where("some < alike").isEmpty():
+        return out.select(*kept)
+    ends = placed.where(split).select(*LEAF, "some", "full", *[f"__c{i}" for i in range(len(names))])
+    ends = written(ends.withColumn("nth", F.monotonically_increasing_id()), "mix-ends")
+    ends = ends.withColumn("bucket", F.shiftright("nth", 33))  # the task that wrote it
+    ends = with_prefix(ends, LEAF, "bucket", [F.col("nth")], F.lit(1).cast("long"), "place")
+    ends = ends.withColumn("times", F.col("full").cast("int") + (F.col("place") <= F.col("some")).cast("int")).where("times > 0").withColumn("use", use)
+    return out.select(*kept).union(ends.select(*kept))

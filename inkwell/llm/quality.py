@@ -8,6 +8,7 @@ sent to the tasks as flat arrays, which score all documents of a batch together.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from inkwell.llm.words import code_points, fold_table, pieces, split_words
 #: The most labelled documents that the trees are fitted on.
 TRAIN_ROWS = 8_000
 SEED = "quality-1"
+#: Characters whose statistics are computed at a time, so that their arrays stay in the cache; a longer text is one piece.
+PIECE_CHARS = 200_000
 #: Documents with less than this probability of good quality are rejected.
 THRESHOLD = 0.5
 
@@ -33,6 +36,24 @@ FEATURES = (
 )
 
 
+#: Sets of characters that are counted, by name.
+_SETS = {"digit": "0123456789", "space": " \t\r\n", "symbol": "#$%&*+<=>@^_`|~{}[]\\/", "stop": ".!?", "comma": ",;:", "pipe": "|"}
+_COUNTED = ("inside", "upper", "digit", "space", "mark", "symbol", "stop", "comma", "pipe", "wide")
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each code point, and for each class which of ``_COUNTED`` it counts for."""
+    fold = fold_table()
+    cp = np.arange(len(fold), dtype=np.uint32)
+    inside = fold != 0
+    is_ = {name: np.isin(cp, [ord(c) for c in chars]) for name, chars in _SETS.items()}
+    is_ |= {"inside": inside, "upper": inside & (fold != cp), "mark": ~inside & ~is_["space"], "wide": cp > 127}
+    code = sum(is_[name].astype(np.uint16) << k for k, name in enumerate(_COUNTED))
+    kinds, of = np.unique(code, return_inverse=True)
+    return of.astype(np.uint8), (kinds[:, None] >> np.arange(len(_COUNTED)) & 1).astype(np.float64)
+
+
 def _by_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive ``starts``."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
@@ -56,7 +77,7 @@ def _distinct(owner: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray
 def statistics(texts: list[str]) -> np.ndarray:
     """One row of ``FEATURES`` for each text; a text without characters or words has zeros."""
     out = np.zeros((len(texts), len(FEATURES)))
-    for lo, hi in pieces(texts):
+    for lo, hi in pieces(texts, PIECE_CHARS):
         out[lo:hi] = _statistics(texts[lo:hi])
     return out
 
@@ -67,19 +88,16 @@ def _statistics(texts: list[str]) -> np.ndarray:
     w = split_words(texts)
     chars = (np.diff(starts) - 1).astype(float)
     words = np.diff(w.first).astype(float)
-    fold = fold_table()[points]
-    inside = fold != 0
-    small = np.minimum(points, 255)
-    count = lambda mask: _by_text(mask, starts)
-    in_set = lambda s: np.isin(np.arange(256), [ord(c) for c in s])[small] & (points < 256)
-    upper = inside & (fold != points)
-    digit = in_set("0123456789")
-    space = in_set(" \t\r\n")
-    mark = ~inside & ~space
+    of, counts_for = _classes()
+    kinds = len(counts_for)
+    cell = np.repeat(np.arange(n, dtype=np.int64) * kinds, np.diff(starts))
+    cell += of[points]
+    count = dict(zip(_COUNTED, (np.bincount(cell, minlength=n * kinds).reshape(n, kinds) @ counts_for).T))
     length = (w.end - w.begin).astype(float)
     per_word = lambda v: _by_text(v, w.first)
     owner = np.repeat(np.arange(n), np.diff(w.first))
-    first_upper = upper[w.begin] if len(w.begin) else np.zeros(0, bool)
+    begins = points[w.begin]
+    first_upper = fold_table()[begins] != begins
     after = points[np.minimum(w.end, len(points) - 1)] if len(w.end) else np.zeros(0, points.dtype)
     types, top = _distinct(owner, w.hashes, n)
     same_next = np.zeros(len(w.hashes))
@@ -91,27 +109,20 @@ def _statistics(texts: list[str]) -> np.ndarray:
         pair = (w.hashes[1:] * np.uint64(31) + w.hashes[:-1] * np.uint64(0x9E3779B97F4A7C15))[together]
     pairs, _ = _distinct(pair_owner, pair, n)
     n_pairs = np.maximum(words - 1, 1)
-    line_end = np.flatnonzero(points == 10)
-    line_begin = np.concatenate([[0], line_end[:-1] + 1])
-    # a line is told by the sum of its characters' mixed values at their places
-    mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    place = np.arange(len(points)) - np.repeat(line_begin, line_end - line_begin + 1)
-    line_hash = np.add.reduceat(mixed * (place.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)), line_begin)
-    line_first = np.searchsorted(line_begin, starts)
-    lines = np.diff(line_first).astype(float)
-    line_types, _ = _distinct(np.repeat(np.arange(n), np.diff(line_first)), line_hash, n)
+    lines = np.array([t.count("\n") + 1 for t in texts], float)
+    line_types = np.array([len(set(t.split("\n"))) for t in texts], float)
     longest = np.zeros(n)
     np.maximum.at(longest, owner, length)
     c, k = np.maximum(chars, 1), np.maximum(words, 1)
     return np.stack(
         [
-            np.log1p(chars), np.log1p(words), per_word(length) / k, per_word(length > 12) / k, count(inside) / c,
-            count(upper) / c, count(digit) / c, count(space) / c, count(mark) / c,
-            count(in_set("#$%&*+<=>@^_`|~{}[]\\/")) / c, count(in_set(".!?")) / c, count(in_set(",;:")) / c,
+            np.log1p(chars), np.log1p(words), per_word(length) / k, per_word(length > 12) / k, count["inside"] / c,
+            count["upper"] / c, count["digit"] / c, count["space"] / c, count["mark"] / c,
+            count["symbol"] / c, count["stop"] / c, count["comma"] / c,
             per_word(first_upper) / k, per_word(np.isin(after, [ord(x) for x in "#$%&*!|"])) / k, types / k,
             np.where(words > 1, np.log1p(types) / np.log1p(np.maximum(words, 1)), 0), per_word(same_next) / k,
             np.where(words > 1, 1 - pairs / n_pairs, 0), pairs / k, top / k, np.log1p(lines), chars / np.maximum(lines, 1),
-            1 - line_types / np.maximum(lines, 1), count(mark) / k, count(in_set("|")) / c, count(points > 127) / c,
+            1 - line_types / np.maximum(lines, 1), count["mark"] / k, count["pipe"] / c, count["wide"] / c,
             per_word(length <= 2) / k, np.minimum(longest, 60),
         ],
         axis=1,
@@ -175,8 +186,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """(doc_id, score, keep) for every row of ``docs``.
 
     ``score`` is the probability of good quality, ``keep`` whether it reaches
-    ``threshold``. A null text is scored as an empty one, and texts without
-    words by their zero statistics. Rows that repeat an id or a text get equal
+    ``threshold``. A null text is scored as an empty one, texts without words by
+    their zero statistics, and very long texts by statistics of the whole text. Rows that repeat an id or a text get equal
     scores for equal texts. Without labels all is kept. An empty table gives no
     rows. Other columns are ignored, whatever their names.
     """
@@ -187,7 +198,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, unchanged."""
+    """The rows of ``docs`` whose score reaches ``threshold``, unchanged.
+
+    Null, empty and very long texts, repeated rows and missing labels are scored as
+    by :func:`score_quality`. Null ids are kept. An empty table stays empty;
+    columns of any other name are kept.
+    """
     tune(docs.sparkSession)
     forest = fit(docs, labels, rows, seed)
     names = docs.columns

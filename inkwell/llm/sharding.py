@@ -76,7 +76,9 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED)
 
     The assignment is computed without the texts, which then move once, in the
     join by ``doc_id``. Rows that repeat an id are matched to the id's
-    positions in the order of their texts' hashes.
+    positions in the order of their texts' hashes. Null ids and sources, and null,
+    empty and very long texts are ordinary. An empty table stays empty; columns
+    of any other name are kept.
     """
     names = docs.columns
     keep = [i for i, c in enumerate(names) if c.lower() not in ("shard_id", "position")]

@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 #: Characters that are handled at a time; a longer text is one piece.
-PIECE_CHARS = 1_000_000
+PIECE_CHARS = 500_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -59,9 +59,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BLOCK = 1 << 20
+_BASE = int(_M1) | 1
+
+
 @cache
-def _powers(bits: int) -> np.ndarray:
-    return np.cumprod(np.full(1 << bits, _M1 | np.uint64(1), np.uint64))
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base and of its inverse, modulo 2**64, for a block of places."""
+    up = np.full(_BLOCK, _BASE, np.uint64)
+    down = np.full(_BLOCK, pow(_BASE, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _word_hashes(folded: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the characters of each word: differences of running sums of a polynomial, moved back to place 0."""
+    up, down = _powers()
+    total = np.zeros(len(folded) + 1, np.uint64)
+    step = [1]  # the base's power at each block
+    for s in range(0, len(folded), _BLOCK):
+        x = folded[s : s + _BLOCK].astype(np.uint64)
+        x = (x * _M2) ^ (x << np.uint64(17))
+        x *= up[: len(x)]
+        if s:
+            x *= np.uint64(step[-1])
+            x[:1] += total[s : s + 1]
+        np.cumsum(x, out=total[s + 1 : s + 1 + len(x)])
+        step.append(step[-1] * pow(_BASE, _BLOCK, 2**64) % 2**64)
+    back = down[begin & (_BLOCK - 1)]
+    if len(folded) > _BLOCK:
+        back = back * np.array([pow(p, -1, 2**64) for p in step], np.uint64)[begin >> 20]
+    return mixed((total[end] - total[begin]) * back + (end - begin).astype(np.uint64))
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +122,7 @@ def split_words(texts: list[str]) -> Words:
     first = np.searchsorted(begin, text_begin)
     if not len(begin):
         return Words(np.zeros(0, np.uint64), begin, end, first, text_begin, feeds)
-    chars = folded[inside].astype(np.uint64)
-    length = end - begin
-    at = np.cumsum(length) - length
-    place = np.arange(len(chars)) - np.repeat(at, length)
-    power = _powers(max(8, int(length.max()).bit_length()))
-    hashes = np.add.reduceat((chars * _M2 ^ (chars << np.uint64(17))) * power[place], at)
-    return Words(mixed(hashes + length.astype(np.uint64)), begin, end, first, text_begin, feeds)
+    return Words(_word_hashes(folded, begin, end), begin, end, first, text_begin, feeds)
 
 
 def pieces(texts: list[str], chars: int = PIECE_CHARS):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -44,16 +46,49 @@ def map_batches(lines: DataFrame, fn: Callable[[list[str]], list[str]], batch_si
     return lines.select("line").mapInArrow(apply, "line string")
 
 
-def for_each(lines: DataFrame, fn: Callable[[str], None]) -> None:
-    """Call ``fn`` for each line, in parallel."""
+def for_each(lines: DataFrame, fn: Callable[[str], None], progress: Callable[[int], None] | None = None, every: int = 100) -> int:
+    """Call ``fn`` for each line, in parallel; ``progress`` gets the lines done after each ``every`` of a task. Returns the number of lines."""
+    sc = lines.sparkSession.sparkContext
     ship(lines.sparkSession)
-    lines.select("line").foreachPartition(lambda rows: [fn(r["line"]) for r in rows] and None)
+    done = sc.accumulator(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                fn(line)
+                n += 1
+                if progress and n % every == 0:
+                    progress(n)
+        done.add(n)
+        yield from ()
+
+    lines.select("line").mapInArrow(run, "line string").write.format("noop").mode("overwrite").save()
+    return done.value
+
+
+#: Partial results that are folded in the driver.
+_PARTS = 64
 
 
 def reduce_column(df: DataFrame, column: str, fn: Callable, initial):
-    """Fold a column: each partition by itself, then the parts; ``fn`` must be associative and ``initial`` neutral."""
+    """Fold a column: Arrow batches within tasks, then the tasks' results by ever fewer tasks; ``fn`` must be associative and ``initial`` neutral."""
     ship(df.sparkSession)
-    return df.select(column).rdd.map(lambda r: r[0]).treeAggregate(initial, fn, fn)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = initial
+        for batch in batches:
+            total = reduce(fn, batch.column(0).to_pylist(), total)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["part"])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = initial
+        for batch in batches:
+            total = reduce(fn, map(pickle.loads, batch.column(0).to_pylist()), total)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["part"])
+
+    parts = df.select(column).mapInArrow(fold, "part binary").repartition(_PARTS).mapInArrow(combine, "part binary")
+    return reduce(fn, (pickle.loads(bytes(r["part"])) for r in parts.collect()), initial)
 
 
 def observed(lines: DataFrame, name: str, column: str = "line") -> tuple[DataFrame, Observation]:

@@ -10,58 +10,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import ngrams
-from inkwell.runtime import ship
+from inkwell.runtime import ship, written
 
 #: Code points in 21 bits: as many of them fit into a signed 64-bit number.
 PACKED_N = 3
 _BITS = 21
 _PIECE = 1 << 20
 
+#: Distinct n-grams as one or more columns of packed code points, and their counts.
+Counts = tuple[list[np.ndarray], np.ndarray]
 
-def _packed_counts(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _summed(keys: list[np.ndarray], counts: np.ndarray | None = None) -> Counts:
+    """Distinct rows of ``keys`` with the sums of their counts (1 each by default)."""
+    if len(keys) == 1 and counts is None:
+        key, n = np.unique(keys[0], return_counts=True)
+        return [key], n
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, len(order))) if counts is None else np.add.reduceat(counts[order], start) if len(start) else counts
+    return [k[start] for k in keys], n
+
+
+def _packed_counts(texts: list[str], n: int) -> Counts:
     """Packed n-grams of the joined texts and their counts; no n-gram spans a line feed."""
     points = np.frombuffer("\n".join(texts).encode(f"utf-32-{sys.byteorder[0]}e", "surrogatepass"), np.uint32).astype(np.int64)
-    if len(points) < n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = len(points) - n + 1
-    key, ok = np.zeros(size, np.int64), np.ones(size, bool)
-    for k in range(n):
-        part = points[k : k + size]
-        key = key << _BITS | part
-        ok &= part != 10
-    return np.unique(key[ok], return_counts=True)
-
-
-def _unpacked(key: np.ndarray, n: int) -> list[str]:
-    points = np.stack([(key >> (_BITS * (n - 1 - k))) & ((1 << _BITS) - 1) for k in range(n)], axis=1).astype(np.uint32)
-    joined = points.tobytes().decode(f"utf-32-{sys.byteorder[0]}e", "surrogatepass")
+    size = max(0, len(points) - n + 1)
+    keys, ok = [], np.ones(size, bool)
+    for s in range(0, n, PACKED_N):
+        key = np.zeros(size, np.int64)
+        for k in range(s, min(n, s + PACKED_N)):
+            part = points[k : k + size]
+            key = key << _BITS | part
+            ok &= part != 10
+        keys.append(key)
+    return _summed([k[ok] for k in keys])
+
+
+def _unpacked(keys: list[np.ndarray], n: int) -> list[str]:
+    points = []
+    for s, key in zip(range(0, n, PACKED_N), keys):
+        width = min(PACKED_N, n - s)
+        points += [(key >> (_BITS * (width - 1 - k))) & ((1 << _BITS) - 1) for k in range(width)]
+    joined = np.stack(points, axis=1).astype(np.uint32).tobytes().decode(f"utf-32-{sys.byteorder[0]}e", "surrogatepass")
     return [joined[i : i + n] for i in range(0, len(joined), n)]
 
 
 def ngram_counts(lines: DataFrame, n: int, column: str = "line") -> DataFrame:
     """(ngram, frequency) over all lines; n-grams don't cross line feeds, null and short lines have none.
 
-    Up to three code points are packed into numbers and counted by array
-    operations before the shuffle; longer n-grams are exploded in the JVM.
+    Code points are packed into numbers, three to one, and counted by array
+    operations before the shuffle.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    if n > PACKED_N:
-        split = lines.select(F.explode(F.split(column, "\n")).alias("l"))
-        return split.select(F.explode(ngrams(F.col("l"), n)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("frequency"))
     ship(lines.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[Counts] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return key, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+        def merged() -> Counts:
+            return _summed([np.concatenate(k) for k in zip(*(k for k, _ in held))], np.concatenate([c for _, c in held]))
 
-        def emit(key: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for s in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(key[s : s + 100_000], n), pa.string()), pa.array(c[s : s + 100_000])], names=["ngram", "frequency"])
+        def emit(keys: list[np.ndarray], c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for s in range(0, len(c), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked([k[s : s + 100_000] for k in keys], n), pa.string()), pa.array(c[s : s + 100_000])], names=["ngram", "frequency"])
 
         for batch in batches:
             texts, size = [], 0
@@ -74,10 +92,10 @@ def ngram_counts(lines: DataFrame, n: int, column: str = "line") -> DataFrame:
                     texts, size = [], 0
             if texts:
                 held.append(_packed_counts(texts, n))
-            if sum(len(k) for k, _ in held) > 2_000_000:
+            if sum(len(c) for _, c in held) > 2_000_000:
                 one = merged()
                 held = [one]
-                if len(one[0]) > 1_000_000:
+                if len(one[1]) > 1_000_000:
                     yield from emit(*one)
                     held = []
         if held:
@@ -108,7 +126,7 @@ def pmi_scores(counts: DataFrame, n: int, min_freq: int = 3) -> DataFrame:
     kept = counts.where(F.col("frequency") >= min_freq)
     if n == 1:
         return kept.select("ngram", F.col("frequency").cast("double").alias("pmi"), "frequency")
-    components = component_counts(counts, min_freq).persist()
+    components = written(component_counts(counts, min_freq), "characters")
     small = components.count() <= 200_000
     scored = kept.crossJoin(F.broadcast(total_count(counts)))
     product = None
@@ -132,7 +150,7 @@ def pmi(lines: DataFrame, n: int = 2, top_k: int = 2500, min_freq: int = 3) -> D
         raise ValueError("n must be 1, 2 or 3")
     if top_k < 1 or min_freq < 1:
         raise ValueError("top_k and min_freq must be at least 1")
-    return top_ngrams(pmi_scores(ngram_counts(lines, n).persist(), n, min_freq), top_k)
+    return top_ngrams(pmi_scores(written(ngram_counts(lines, n), "ngram-counts"), n, min_freq), top_k)
 
 
 def with_prefix(items: DataFrame, prefix: str, column: str = "ngram") -> DataFrame:
@@ -149,8 +167,13 @@ def last_written(items: DataFrame, key: str = "ngram", order: str = "pos") -> Da
     return items.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
 
 
+#: Bytes that a node of a byte trie is estimated at: its own and its share of the child table.
+NODE_BYTES = 96
+
+
 def prefix_tree_nodes(items: DataFrame, column: str = "ngram") -> DataFrame:
-    """One row (nodes): the nodes of a byte trie of the items, with its root."""
+    """One row (nodes, bytes): the nodes of a byte trie of the items, with its root, and its estimated memory."""
     data = F.col(column).cast("binary")
     heads = F.transform(F.sequence(F.lit(1), F.octet_length(column)), lambda i: F.hex(F.substring(data, F.lit(1), i)))
-    return items.where(F.octet_length(column) > 0).select(F.explode(heads).alias("p")).agg((F.count_distinct("p") + 1).alias("nodes"))
+    nodes = items.where(F.octet_length(column) > 0).select(F.explode(heads).alias("p")).agg((F.count_distinct("p") + 1).alias("nodes"))
+    return nodes.withColumn("bytes", F.col("nodes") * NODE_BYTES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import is_valid_candidate
-from inkwell.runtime import ship
+from inkwell.runtime import by_key, ship, written
 
 #: Characters before and after the start of a word's first occurrence.
 CONTEXT = 20
-#: Candidates that are handed to every task; the options' own limit keeps their number below it.
-BROADCAST_CANDIDATES = 1_000_000
+#: Words that a task looks for at once; more are looked for in further passes.
+PASS_WORDS = 1_000_000
+#: Characters of joined texts that are searched at a time.
+_PIECE = 1 << 19
+_BITS = 22
 
 
 def candidates(scores: DataFrame, min_pmi: float = 1.0, max_bytes: int = 20, max_candidates: int = 100_000) -> DataFrame:
@@ -28,25 +32,24 @@ def candidates(scores: DataFrame, min_pmi: float = 1.0, max_bytes: int = 20, max
     order = "pos" if "pos" in scores.columns else "ngram"
     kept = scores.where((F.col("pmi") >= min_pmi) & (F.octet_length("ngram") <= max_bytes))
     rows = kept.select(F.col(order).alias("ord"), F.col("ngram").alias("text"), F.col("pmi").alias("score"), "frequency")
-    best = rows.orderBy(F.desc("score"), "ord").limit(max_candidates + 1).persist()
-    if best.count() <= max_candidates:
+    rows = written(rows, "candidates")
+    if rows.count() <= max_candidates:
         return rows
-    ranked = best.withColumn("n", F.row_number().over(Window.orderBy(F.desc("score"), "ord"))).where(F.col("n") <= max_candidates)
-    return ranked.select(F.col("n").alias("ord"), "text", "score", "frequency")
+    best = rows.orderBy(F.desc("score"), "ord").limit(max_candidates)
+    return best.withColumn("n", F.row_number().over(Window.orderBy(F.desc("score"), "ord"))).select(F.col("n").alias("ord"), "text", "score", "frequency")
 
 
-def with_offsets(texts: DataFrame, seq: str = "seq", text: str = "text", bucket_rows: int = 4096) -> DataFrame:
-    """(seq, text, start): where each text begins in all texts joined by line feeds in the order of ``seq``.
+def with_offsets(texts: DataFrame, seq: str = "seq", text: str = "text") -> DataFrame:
+    """(seq, start, size): where each text begins in all texts joined by line feeds in the order of ``seq``, and its characters.
 
-    Sums run over buckets of ``seq``, so no task sees the whole table.
+    The texts themselves aren't moved. Sums run over ranges of ``seq``, so no task sees the whole table.
     """
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(seq).cast("long").alias("seq"), F.col(text).alias("text"))
-    rows = rows.withColumns({"b": F.floor(F.col("seq") / bucket_rows), "size": F.length("text") + 1})
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("b").agg(F.sum("size").alias("s")).select("b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    sized = rows.join(sums, "b").withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return sized.select("seq", "text", "start")
+    sizes = texts.where(F.col(text).isNotNull()).select(F.col(seq).cast("long").alias("seq"), F.length(text).cast("long").alias("size"))
+    rows = written(sizes.repartitionByRange("seq").withColumn("part", F.spark_partition_id()), "sizes")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("part").agg(F.sum(F.col("size") + 1).alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return by_key(rows, sums, "part").select("seq", (F.col("base") + F.coalesce(F.sum(F.col("size") + 1).over(inside), F.lit(0))).alias("start"), "size")
 
 
 def _windows(points: np.ndarray, n: int) -> np.ndarray:
@@ -68,88 +71,136 @@ def _has_border(word: str) -> bool:
 
 
 class Finder:
-    """Find many words in texts at once: windows of each length are hashed and looked up."""
+    """Find many words in texts at once: windows of each length are hashed and looked up, first in a table of bits."""
 
     def __init__(self, words: list[str]):
         self.words = sorted({w for w in words if w})
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         lengths = np.array([len(w) for w in self.words], np.int64)
         for n in np.unique(lengths):
             which = np.flatnonzero(lengths == n)
             h = np.array([_windows(_points(self.words[i]), int(n))[0] for i in which], np.uint64)
             o = np.argsort(h)
-            self.by_length[int(n)] = (h[o], which[o])
+            bits = np.zeros(1 << _BITS, bool)
+            bits[h >> np.uint64(64 - _BITS)] = True
+            self.by_length[int(n)] = (h[o], which[o], bits)
         self.overlapping = np.array([_has_border(w) for w in self.words], bool)
 
-    def count(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(word numbers, non-overlapping occurrences, first position) for each length."""
+    def find(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word numbers, positions) of the occurrences that don't overlap others of the same word, for each length."""
         points = _points(text)
-        for n, (hashes, which) in self.by_length.items():
+        for n, (hashes, which, bits) in self.by_length.items():
             h = _windows(points, n)
-            if not len(h):
-                continue
+            place = np.flatnonzero(bits[h >> np.uint64(64 - _BITS)])
+            h = h[place]
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            place = np.flatnonzero(hashes[at] == h)
+            hit = hashes[at] == h
+            place, word = place[hit], which[at[hit]]
             if not len(place):
                 continue
-            word = which[at[place]]
             o = np.argsort(word, kind="stable")
             word, place = word[o], place[o]
-            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            number, size = word[start], np.diff(np.append(start, len(word)))
-            for i in np.flatnonzero(self.overlapping[number] & (size > 1)):
-                end, kept = -1, 0
-                for p in place[start[i] : start[i] + size[i]].tolist():
-                    if p >= end:
-                        kept, end = kept + 1, p + n
-                size[i] = kept
-            yield number, size, place[start]
-
-
-def occurrences_in(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(text, occurrences, first): for the words that occur, their non-overlapping occurrences and first global position.
-
-    ``texts`` has (text, start) of :func:`with_offsets`. Words hold no line feed,
-    so counting each text by itself gives the counts of the joined text.
+            # one begins within the one before: only then there is something to leave out
+            close = np.flatnonzero((word[1:] == word[:-1]) & (place[1:] - place[:-1] < n))
+            if len(close):
+                keep = np.ones(len(word), bool)
+                for w in np.unique(word[close]):
+                    lo, hi = np.searchsorted(word, [w, w + 1])
+                    end = -1
+                    for i, p in enumerate(place[lo:hi].tolist(), lo):
+                        keep[i] = p >= end
+                        end = p + n if p >= end else end
+                word, place = word[keep], place[keep]
+            yield word, place
+
+
+def _passes(words: DataFrame, size: int) -> Iterator[DataFrame]:
+    """``words`` (text, ...) in parts of about ``size`` rows."""
+    n = words.count()
+    parts = max(1, -(-n // size))
+    for i in range(parts):
+        yield words.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == i) if parts > 1 else words
+
+
+def occurrences_in(texts: DataFrame, words: DataFrame, pass_words: int = PASS_WORDS) -> DataFrame:
+    """(text, occurrences, seq, at): for the words that occur, their non-overlapping occurrences, and the text and place of the first.
+
+    Words hold no line feed, so counting in each of the ``texts`` (seq, text) gives
+    the counts of the joined text. ``seq`` tells the texts' order and is unique.
     """
     spark = texts.sparkSession
     ship(spark)
-    listed = [r[0] for r in words.select("text").distinct().limit(BROADCAST_CANDIDATES + 1).collect()]
-    if len(listed) > BROADCAST_CANDIDATES:
-        raise ValueError(f"more than {BROADCAST_CANDIDATES} candidates; lower max_candidates")
-    shared = spark.sparkContext.broadcast(Finder(listed))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        count, first = np.zeros(len(f.words), np.int64), np.full(len(f.words), np.iinfo(np.int64).max)
-        for batch in batches:
-            for text, start in zip(batch.column("text").to_pylist(), batch.column("start").to_pylist()):
-                for number, size, place in f.count(text):
-                    count[number] += size
-                    first[number] = np.minimum(first[number], place + start)
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array([f.words[i] for i in at], pa.string()), pa.array(count[at]), pa.array(first[at])], names=["text", "n", "first"])
-
-    found = texts.select("text", "start").mapInArrow(find, "text string, n long, first long")
-    return found.groupBy("text").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first"))
-
-
-def contexts_of(texts: DataFrame, found: DataFrame, reach: int = CONTEXT, bucket: int = 1024) -> DataFrame:
-    """(text, context): the characters from ``reach`` before to ``reach`` after each first position, across texts."""
-    spans = found.select(F.col("text").alias("word"), F.greatest(F.lit(0), F.col("first") - reach).alias("a"), (F.col("first") + reach).alias("b"))
-    spans = spans.withColumn("k", F.explode(F.sequence(F.floor(F.col("a") / bucket), F.floor((F.col("b") - 1) / bucket))))
-    rows = texts.withColumn("end", F.col("start") + F.length("text") + 1)
-    rows = rows.withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
-    lo, hi = F.greatest("a", "start"), F.least("b", "end")
-    # of the pieces' own buckets, only the first is used, so no piece comes twice
-    piece = F.substring(F.concat("text", F.lit("\n")), (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int"))
-    parts = rows.join(F.broadcast(spans), "k").where((lo < hi) & (F.floor(lo / bucket) == F.col("k"))).select("word", "start", piece.alias("piece"))
+    distinct = written(words.select("text").where("text IS NOT NULL AND text <> ''").distinct(), "words")
+    rows = texts.where("text IS NOT NULL").select(F.col("seq").cast("long").alias("seq"), "text")
+
+    def counted(part: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Finder([r[0] for r in part.collect()]))
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f = shared.value
+            count = np.zeros(len(f.words), np.int64)
+            seq, at = np.full(len(f.words), _LAST), np.full(len(f.words), _LAST)
+            for batch in batches:
+                all_texts, all_seq = batch.column("text").to_pylist(), batch.column("seq").to_numpy()
+                sizes = np.array([len(t) + 1 for t in all_texts], np.int64)
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _PIECE, prepend=0))
+                for lo, hi in zip([0, *cuts], [*cuts, len(sizes)]):
+                    if lo == hi:
+                        continue
+                    begin = np.cumsum(sizes[lo:hi]) - sizes[lo:hi]
+                    for word, place in f.find("\n".join(all_texts[lo:hi])):
+                        count += np.bincount(word, minlength=len(count))
+                        owner = np.searchsorted(begin, place, side="right") - 1
+                        s, p = all_seq[lo:hi][owner], place - begin[owner]
+                        o = np.lexsort((p, s, word))
+                        o = o[np.concatenate([[True], word[o][1:] != word[o][:-1]])]
+                        w, s, p = word[o], s[o], p[o]
+                        better = (s < seq[w]) | ((s == seq[w]) & (p < at[w]))
+                        seq[w[better]], at[w[better]] = s[better], p[better]
+            got = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array([f.words[i] for i in got], pa.string()), *(pa.array(x[got]) for x in (count, seq, at))], names=["text", "n", "seq", "at"])
+
+        return rows.mapInArrow(find, "text string, n long, seq long, at long")
+
+    found = reduce(DataFrame.union, [counted(p) for p in _passes(distinct, pass_words)])
+    return found.groupBy("text").agg(F.sum("n").alias("occurrences"), F.min(F.struct("seq", "at")).alias("first")).select("text", "occurrences", "first.*")
+
+
+_LAST = np.iinfo(np.int64).max
+
+
+def contexts_of(texts: DataFrame, found: DataFrame, reach: int = CONTEXT, pass_words: int = PASS_WORDS) -> DataFrame:
+    """(text, context): the characters from ``reach`` before to ``reach`` after each first place of :func:`occurrences_in`, across texts."""
+    spark = texts.sparkSession
+    ship(spark)
+    offsets = written(with_offsets(texts), "offsets")
+    total = offsets.agg(F.max(F.col("start") + F.col("size"))).first()[0] or 0  # no line feed follows the last text
+    spots = written(by_key(offsets.select("seq", "start"), found.select("text", "seq", "at"), "seq").select("text", (F.col("start") + F.col("at")).alias("first")), "spots")
+
+    def located(part: DataFrame) -> DataFrame:
+        spans = sorted((max(0, r["first"] - reach), min(total, r["first"] + reach), r["text"]) for r in part.collect())
+        shared = spark.sparkContext.broadcast((np.array([s[0] for s in spans], np.int64), np.array([s[1] for s in spans], np.int64), [s[2] for s in spans]))
+
+        def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a, b, names = shared.value  # both in order
+            for batch in batches:
+                seq, start, size = (batch.column(c).to_numpy() for c in ("seq", "start", "size"))
+                end = start + size + 1
+                lo, hi = np.searchsorted(b, start, side="right"), np.searchsorted(a, end, side="left")
+                n = np.maximum(0, hi - lo)
+                row = np.repeat(np.arange(len(n)), n)
+                span = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+                begin, stop = np.maximum(a[span], start[row]) - start[row], np.minimum(b[span], end[row]) - start[row]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in span], pa.string()), pa.array(seq[row]), pa.array(start[row]), pa.array(begin), pa.array(stop - begin)], names=["word", "seq", "start", "begin", "n"])
+
+        return offsets.mapInArrow(locate, "word string, seq long, start long, begin long, n long")
+
+    pieces = written(reduce(DataFrame.union, [located(p) for p in _passes(spots, pass_words)]), "pieces")
+    rows = texts.where("text IS NOT NULL").select(F.col("seq").cast("long").alias("seq"), "text")
+    piece = F.substring(F.concat("text", F.lit("\n")), (F.col("begin") + 1).cast("int"), F.col("n").cast("int"))
+    parts = by_key(rows, pieces, "seq").select("word", "start", piece.alias("piece"))
     joined = parts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("p"))
-    last = texts.agg(F.max(F.col("start") + F.length("text")).alias("size"))  # no line feed follows the last text
-    whole = F.array_join(F.transform("p", lambda x: x["piece"]), "")
-    ended = joined.join(found.select(F.col("text").alias("word"), "first"), "word").crossJoin(F.broadcast(last))
-    cut = F.when(F.col("first") + reach > F.col("size"), F.substring(whole, F.lit(1), (F.col("size") - F.greatest(F.lit(0), F.col("first") - reach)).cast("int"))).otherwise(whole)
-    return ended.select(F.col("word").alias("text"), cut.alias("context"))
+    return joined.select(F.col("word").alias("text"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("context"))
 
 
 def context_score(occurrences):
@@ -176,12 +227,11 @@ def verify(
     With ``in_text`` only candidates that occur in the texts (seq, text) stay.
     Words of the dictionary are dropped.
     """
-    placed = with_offsets(texts).persist()
-    found = occurrences_in(placed, cands).persist()
+    found = written(occurrences_in(texts, cands), "occurrences")
     rows = cands.join(found, "text", "inner" if in_text else "left")
     rows = rows.withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
     if context:
-        rows = rows.join(contexts_of(placed, found), "text", "left").withColumn("context", F.coalesce("context", F.lit("")))
+        rows = rows.join(contexts_of(texts, found), "text", "left").withColumn("context", F.coalesce("context", F.lit("")))
     else:
         rows = rows.withColumn("context", F.lit(""))
     score = context_score(F.col("occurrences")) if context else F.lit(0.0)
@@ -218,7 +268,7 @@ def drop_overlaps(rows: DataFrame) -> DataFrame:
     The edges come from an equality join of substrings; the greedy pass runs
     over the bounded list of candidates in one task.
     """
-    numbered = rows.withColumn("id", F.row_number().over(Window.orderBy(F.desc("score"), "ord", "text"))).persist()
+    numbered = written(rows.withColumn("id", F.row_number().over(Window.orderBy(F.desc("score"), "ord", "text"))), "numbered")
     inner = numbered.where(F.length("text") > 1).select(F.col("id").alias("a"), F.explode(F.array_distinct(_substrings("text"))).alias("text"))
     within = inner.join(numbered.select("text", F.col("id").alias("b")), "text").select("a", "b")
     same = numbered.select("text", F.col("id").alias("a")).join(numbered.select("text", F.col("id").alias("b")), "text").where("a < b").select("a", "b")
@@ -267,10 +317,14 @@ def rank(rows: DataFrame, top_k: int = 1000, model: str = "combined", weights: t
     return ranked.select("rank", F.col("text").alias("word"), F.col("total").alias("score"), "frequency", "context")
 
 
-def memory_estimate(stages: list[DataFrame], column: str = "text") -> int:
-    """Bytes of the texts and contexts of the stages' rows."""
-    total = 0
+#: Bytes of a row besides its texts: numbers, lengths and pointers.
+ROW_BYTES = 64
+
+
+def memory_estimate(stages: list[DataFrame]) -> DataFrame:
+    """One row (bytes): the texts (or words) and contexts of all stages' rows, and ``ROW_BYTES`` for each row."""
+    sizes = []
     for s in stages:
-        size = F.octet_length(column) + (F.octet_length("context") if "context" in s.columns else F.lit(0))
-        total += s.agg(F.sum(size)).first()[0] or 0
-    return total
+        texts = [c for c in ("text", "word", "context") if c in s.columns]
+        sizes.append(s.select(sum((F.octet_length(c) for c in texts), F.lit(ROW_BYTES)).alias("n")))
+    return reduce(DataFrame.union, sizes).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"))

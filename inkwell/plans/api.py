@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -12,10 +11,10 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import ngrams, normalize as norm, sampling, words
 from inkwell.plans.options import NormalizeOptions, PmiOptions, WordOptions
+from inkwell.plans.progress import Progress, Ratio, Reporter
+from inkwell.runtime import written
 from inkwell.sources import sinks
-from inkwell.sources.text import buffer_lines, path_size, read_dictionary, read_lines, read_pmi
-
-Progress = Callable[[dict[str, Any]], None]
+from inkwell.sources.text import buffer_lines, is_stdin, path_size, read_dictionary, read_lines, read_pmi
 
 
 @dataclass
@@ -26,84 +25,83 @@ class Result:
     stats: dict[str, Any]
 
 
-def _report(progress: Progress | None, phase: str, ratio: float, began: float, size: int = 0) -> None:
-    if progress:
-        spent = time.time() - began
-        left = spent / ratio * (1 - ratio) if ratio > 0 else 0.0
-        progress({"phase": phase, "phase_ratio": 1.0 if phase == "complete" else 0.0, "overall_ratio": ratio, "bytes": size, "elapsed_s": spent, "eta_s": left})
+def _size(spark: SparkSession, path: str) -> int:
+    return 0 if is_stdin(path) else path_size(spark, path)
 
 
-def _speed(path: str, seconds: float) -> float:
-    try:
-        return path_size(path) / 1e6 / max(seconds, 1e-9)
-    except OSError:
-        return 0.0
+def _timed(began: float, size: int) -> dict[str, Any]:
+    spent = time.time() - began
+    return {"elapsed_ms": int(spent * 1000), "mb_per_sec": size / 1e6 / max(spent, 1e-9)}
 
 
-def normalize_file(spark: SparkSession, source: str, target: str, options: NormalizeOptions = NormalizeOptions(), progress: Progress | None = None, sample: int = 0, seed: int = 0) -> Result:
+def normalize_file(spark: SparkSession, source: str, target: str, options: NormalizeOptions = NormalizeOptions(), progress: Progress | None = None, sample: int = 0, seed: int = 0, ratio: Ratio | None = None) -> Result:
     """Normalize a file's lines into a file (``-``: standard streams, ``null``: no output) in the order of first occurrence."""
-    began = time.time()
-    _report(progress, "reading", 0.0, began)
+    began, report = time.time(), Reporter(spark, progress, ratio, options.progress_step)
+    report("reading", 0.0)
     lines = read_lines(spark, source)
+    size = _size(spark, source)
     if sample:
-        lines = sampling.sample_lines(lines, sample, seed).persist()
-    form = options.form.upper()
-    bounds = (options.min_length, options.max_length)
-    done = norm.normalize(lines, form, *bounds).persist()
-    _report(progress, "processing", 0.5, began)
-    stats = norm.normalize_stats(lines, form, *bounds).first().asDict()
-    _report(progress, "writing", 0.9, began)
-    sinks.write_lines(done, target, order="pos")
-    spent = time.time() - began
-    _report(progress, "complete", 1.0, began)
-    return Result(done, stats | {"elapsed_ms": int(spent * 1000), "mb_per_sec": _speed(source, spent), "sampled": bool(sample), "sample_size": sample})
-
-
-def pmi_file(spark: SparkSession, source: str, target: str, options: PmiOptions = PmiOptions(), progress: Progress | None = None) -> Result:
+        lines = written(sampling.sample_lines(lines, sample, seed), "sample")
+    with report.during("processing", 0.05, 0.85, size):
+        weights = written(norm.weighted_lines(lines, options.form.upper(), options.min_length, options.max_length), "distinct-lines")
+    stats = norm.stats_of(lines, weights).first().asDict()
+    done = weights.select("pos", "line")
+    with report.during("writing", 0.9, 0.99, size):
+        sinks.write_lines(done, target, order="pos")
+    report("complete", 1.0, 1.0, size)
+    return Result(done, stats | _timed(began, size) | {"sampled": bool(sample), "sample_size": sample})
+
+
+def pmi_file(spark: SparkSession, source: str, target: str, options: PmiOptions = PmiOptions(), progress: Progress | None = None, ratio: Ratio | None = None) -> Result:
     """Score a file's n-grams into a table of ``ngram, pmi, frequency``."""
-    began = time.time()
-    _report(progress, "reading", 0.0, began)
-    counts = ngrams.ngram_counts(read_lines(spark, source), options.n).persist()
+    began, report = time.time(), Reporter(spark, progress, ratio, options.progress_step)
+    report("reading", 0.0)
+    size = _size(spark, source)
+    with report.during("processing", 0.05, 0.75, size):
+        counts = written(ngrams.ngram_counts(read_lines(spark, source), options.n), "ngram-counts")
     grams = counts.count()
-    _report(progress, "calculating", 0.8, began)
-    best = ngrams.top_ngrams(ngrams.pmi_scores(counts, options.n, options.min_freq), options.top_k).persist()
-    emitted = best.count()
+    with report.during("calculating", 0.8, 0.9, size):
+        best = written(ngrams.top_ngrams(ngrams.pmi_scores(counts, options.n, options.min_freq), options.top_k).coalesce(1), "ngram-scores")
     if target != "null":
-        _report(progress, "writing", 0.9, began)
+        report("writing", 0.9, 0.0, size)
         sinks.write_text(sinks.pmi_tsv(best), target)
-    spent = time.time() - began
-    _report(progress, "complete", 1.0, began)
-    return Result(best, {"n": options.n, "grams": grams, "distinct_ngrams": emitted, "elapsed_ms": int(spent * 1000), "mb_per_sec": _speed(source, spent)})
+    report("complete", 1.0, 1.0, size)
+    return Result(best, {"n": options.n, "grams": grams, "distinct_ngrams": best.count()} | _timed(began, size))
 
 
-def extract_words(scores: DataFrame, texts: DataFrame, options: WordOptions = WordOptions(), dictionary: DataFrame | None = None) -> DataFrame:
-    """(rank, word, score, frequency, context) from scored n-grams and texts (seq, text)."""
+def extract_stages(scores: DataFrame, texts: DataFrame, options: WordOptions = WordOptions(), dictionary: DataFrame | None = None) -> list[DataFrame]:
+    """The candidates, and of these the verified, the pruned and the ranked ones."""
     found = words.candidates(scores, options.min_pmi, options.max_candidate_length, options.max_candidates)
-    verified = words.verify(found, texts, dictionary, options.verify_in_text, options.use_context, options.use_statistics)
+    verified = written(words.verify(found, texts, dictionary, options.verify_in_text, options.use_context, options.use_statistics), "verified")
     pruned = words.prune(verified, options.min_length, options.max_length, options.min_score, options.remove_substrings, options.remove_overlaps, options.language_rules)
-    return words.rank(pruned, options.top_k, options.ranking_model, options.weights)
+    pruned = written(pruned, "pruned")
+    return [found, verified, pruned, words.rank(pruned, options.top_k, options.ranking_model, options.weights)]
+
+
+def extract_words(scores: DataFrame, texts: DataFrame, options: WordOptions = WordOptions(), dictionary: DataFrame | None = None) -> DataFrame:
+    """(rank, word, score, frequency, context) from scored n-grams and texts (seq, text)."""
+    return extract_stages(scores, texts, options, dictionary)[-1]
 
 
-def extract_words_file(spark: SparkSession, pmi_path: str, text_path: str, target: str = "null", options: WordOptions = WordOptions(), progress: Progress | None = None) -> Result:
+def extract_words_file(spark: SparkSession, pmi_path: str, text_path: str, target: str = "null", options: WordOptions = WordOptions(), progress: Progress | None = None, ratio: Ratio | None = None) -> Result:
     """Words from a scored table and the text it came from; writes ``word, score, frequency, context``."""
     if not pmi_path or not text_path:
         raise ValueError("both input paths are needed")
-    began = time.time()
-    _report(progress, "reading", 0.0, began)
+    began, report = time.time(), Reporter(spark, progress, ratio)
+    report("reading", 0.0)
     scores = read_pmi(spark, pmi_path, options.min_pmi)
-    lines = read_lines(spark, text_path)
-    # partitions of a sort are ranges, so these ids follow the order of the lines
-    texts = lines.orderBy("pos").select(F.monotonically_increasing_id().alias("seq"), F.col("line").alias("text")).persist()
+    size = _size(spark, text_path)
+    texts = norm.numbered(read_lines(spark, text_path)).selectExpr("number AS seq", "line AS text")
     dictionary = read_dictionary(spark, options.dictionary) if options.dictionary else None
-    _report(progress, "processing", 0.25, began)
-    best = extract_words(scores, texts, options, dictionary).persist()
-    n = best.count()
+    with report.during("processing", 0.1, 0.85, size):
+        *before, ranked = extract_stages(scores, texts, options, dictionary)
+        best = written(ranked, "words")
     if target != "null":
-        _report(progress, "writing", 0.9, began)
+        report("writing", 0.9, 0.0, size)
         sinks.write_text(sinks.words_tsv(best.orderBy("rank")), target)
-    size = words.memory_estimate([best], "word")
-    _report(progress, "complete", 1.0, began)
-    return Result(best, {"words_count": n, "processing_time_ms": int((time.time() - began) * 1000), "memory_usage_bytes": size})
+    memory = words.memory_estimate([*before, best]).first()["bytes"]
+    report("complete", 1.0, 1.0, size)
+    return Result(best, {"words_count": best.count(), "processing_time_ms": int((time.time() - began) * 1000), "memory_usage_bytes": memory})
 
 
 def normalize_buffer(spark: SparkSession, data: bytes, options: NormalizeOptions = NormalizeOptions()) -> tuple[bytes, dict[str, Any]]:
@@ -121,7 +119,7 @@ def normalize_buffer(spark: SparkSession, data: bytes, options: NormalizeOptions
 
 def pmi_buffer(spark: SparkSession, data: bytes, options: PmiOptions = PmiOptions()) -> tuple[bytes, dict[str, Any]]:
     """Score the n-grams of bytes of lines; the table has no header."""
-    counts = ngrams.ngram_counts(buffer_lines(spark, data), options.n).persist()
+    counts = written(ngrams.ngram_counts(buffer_lines(spark, data), options.n), "ngram-counts")
     best = ngrams.top_ngrams(ngrams.pmi_scores(counts, options.n, options.min_freq), options.top_k)
     rows = list(sinks.pmi_tsv(best, header=False))
     return "".join(rows).encode(), {"grams": counts.count(), "distinct_ngrams": len(rows)}

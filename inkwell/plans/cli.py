@@ -84,11 +84,21 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _progress(kind: str):
+    """Shows each new percent, with the time left."""
+    last = -1
+
     def show(info: dict) -> None:
+        nonlocal last
+        percent = int(100 * info["overall_ratio"])
+        if percent == last and info["phase"] != "complete":
+            return
+        last = percent
         if kind == "json":
-            print(json.dumps(info), file=sys.stderr)
-        else:
-            print(f"\r{info['phase']}: {100 * info['overall_ratio']:.0f} %", end="\n" if info["phase"] == "complete" else "", file=sys.stderr)
+            print(json.dumps(info | {"progress": percent, "eta": info["eta_s"]}), file=sys.stderr)
+            return
+        minutes, seconds = divmod(int(info["eta_s"]), 60)
+        left = f" ETA: {f'{minutes}m ' if minutes else ''}{seconds}s" if 0 < info["overall_ratio"] < 1 else ""
+        print(f"\r{info['phase']}: {percent} %{left}", end="\n" if info["phase"] == "complete" else "", file=sys.stderr, flush=True)
 
     return None if kind == "none" else show
 

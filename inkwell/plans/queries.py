@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import is_blank, is_emoji_only, is_excluded, is_valid_candidate, line_hash, ngrams, normalized_line
+from inkwell.functions.text import is_blank, is_emoji_only, is_excluded, is_functional_word, is_valid_candidate, line_hash, ngrams, normalized_line
 from inkwell.operators import maps, ngrams as ng, normalize as norm, sampling, words
-from inkwell.plans.options import PmiOptions, WordOptions
+from inkwell.plans import api
+from inkwell.plans.options import NormalizeOptions, PmiOptions, WordOptions
+from inkwell.runtime import shared_path, spread, written
+from inkwell.sources import sinks, text as sources
 from inkwell.sources.text import lines_of
-from inkwell.runtime import spread
 from inkwell.streaming import streams
 
-#: Parameters of the word-extraction queries that are held against SQL, which has the same. They are a smaller
-#: job than the operators' defaults (2500, 3, 1.0); the queries named ``..._whole`` run with those.
-TOP_K, MIN_FREQ, MIN_PMI = 300, 5, 2.0
+#: The word queries run with the operators' defaults, which their SQL repeats.
+TOP_K, MIN_FREQ = PmiOptions().top_k, PmiOptions().min_freq
+WORD = WordOptions()
+#: The cap of the one query that is about the cap.
+CAP = 400
 MIN_LENGTH, MAX_LENGTH = 20, 400
+CHUNK_BYTES = 100_000
+SAMPLE, SAMPLE_SEED = 500, 42
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +73,8 @@ def normalize_stats(spark, d):
 
 
 def normalize_batch_dedup(spark, d):
-    lines = norm.normalized(_lines(spark, d))
-    return _keyed(norm.distinct_within(lines, F.floor(F.col("pos.key") / 100)))
+    """Each line once in every 1,000 lines of the corpus."""
+    return _keyed(norm.normalize_batches(_lines(spark, d)))
 
 
 def tsv_field_rules(spark, d):
@@ -102,8 +104,8 @@ def ngram_counts_3(spark, d):
 
 
 def ngram_counts_5(spark, d):
-    """Longer n-grams take the JVM path."""
-    return ng.ngram_counts(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("text").alias("line")), 5)
+    """N-grams of more code points than fit into one number."""
+    return _counts(spark, d, 5)
 
 
 def ngram_total(spark, d):
@@ -152,65 +154,90 @@ def ngram_overwrite(spark, d):
     return ng.last_written(rows).select("ngram", "frequency")
 
 
-def _candidates(spark, d, whole=False):
-    """With ``whole``, under the operators' default limits."""
-    pmi, word = PmiOptions(), WordOptions()
-    top_k, min_freq, min_pmi, most = (pmi.top_k, pmi.min_freq, word.min_pmi, word.max_candidates) if whole else (TOP_K, MIN_FREQ, MIN_PMI, 400)
-    both = ng.pmi(_lines(spark, d), 2, top_k, min_freq).unionByName(ng.pmi(_lines(spark, d), 3, top_k, min_freq)).withColumn("pmi", F.round("pmi", 6))
-    return words.candidates(both, min_pmi, word.max_candidate_length, most).drop("ord").withColumn("ord", F.col("text")).persist()
+def _candidates(spark, d, most=WORD.max_candidates):
+    both = ng.pmi(_lines(spark, d), 2, TOP_K, MIN_FREQ).unionByName(ng.pmi(_lines(spark, d), 3, TOP_K, MIN_FREQ)).withColumn("pmi", F.round("pmi", 6))
+    return written(words.candidates(both, WORD.min_pmi, WORD.max_candidate_length, most).drop("ord").withColumn("ord", F.col("text")), "candidates")
 
 
-def candidates_capped(spark, d):
+def candidates_all(spark, d):
     return _candidates(spark, d).select("text", "score", "frequency")
 
 
+def candidates_capped(spark, d):
+    return _candidates(spark, d, CAP).select("text", "score", "frequency")
+
+
 def _texts(spark, d):
     return _documents(spark, d).select(F.col("doc_id").alias("seq"), "text")
 
 
-def occurrence_counts(spark, d, whole=False):
-    return words.occurrences_in(words.with_offsets(_texts(spark, d)), _candidates(spark, d, whole)).select("text", "occurrences")
+def occurrence_counts(spark, d):
+    return words.occurrences_in(_texts(spark, d), _candidates(spark, d)).select("text", "occurrences")
+
+
+def first_occurrences(spark, d):
+    """The document and the place of each candidate's first occurrence."""
+    return words.occurrences_in(_texts(spark, d), _candidates(spark, d)).select("text", F.col("seq").alias("doc_id"), F.col("at").alias("place"))
+
+
+def text_offsets(spark, d):
+    return words.with_offsets(_texts(spark, d)).select(F.col("seq").alias("doc_id"), "start", "size")
 
 
 def verify_in_text(spark, d):
     """Which part names' words occur in the documents."""
     names = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("text")).union(spark.createDataFrame([("the",), ("zzzqqq",)], "text string")).distinct()
-    found = words.occurrences_in(words.with_offsets(_texts(spark, d)), names)
-    return names.join(found, "text", "left_semi")
+    return names.join(words.occurrences_in(_texts(spark, d), names), "text", "left_semi")
 
 
-def context_window(spark, d, whole=False):
-    placed = words.with_offsets(_texts(spark, d)).persist()
-    return words.contexts_of(placed, words.occurrences_in(placed, _candidates(spark, d, whole)).persist())
+def context_window(spark, d):
+    found = written(words.occurrences_in(_texts(spark, d), _candidates(spark, d)), "occurrences")
+    return words.contexts_of(_texts(spark, d), found)
 
 
-def context_score(spark, d, whole=False):
-    found = words.occurrences_in(words.with_offsets(_texts(spark, d)), _candidates(spark, d, whole))
+def context_score(spark, d):
+    found = words.occurrences_in(_texts(spark, d), _candidates(spark, d))
     return found.select("text", words.context_score(F.col("occurrences")).alias("context_score"))
 
 
-def _verified(spark, d, whole=False):
-    return words.verify(_candidates(spark, d, whole), _texts(spark, d))
+def _verified(spark, d):
+    return written(words.verify(_candidates(spark, d), _texts(spark, d)), "verified")
 
 
-def statistical_score(spark, d, whole=False):
-    return _verified(spark, d, whole).select("text", F.round("statistical_score", 9).alias("statistical_score"))
+def statistical_score(spark, d):
+    return _verified(spark, d).select("text", F.round("statistical_score", 9).alias("statistical_score"))
 
 
 def _dictionary(spark, d):
     return _counts(spark, d, 2).where("frequency % 2 = 0").select(F.col("ngram").alias("text"))
 
 
-def dictionary_anti(spark, d, whole=False):
-    return words.verify(_candidates(spark, d, whole), _texts(spark, d), _dictionary(spark, d), context=False, statistics=False).select("text", "score", "frequency")
+def dictionary_anti(spark, d):
+    return words.verify(_candidates(spark, d), _texts(spark, d), _dictionary(spark, d), context=False, statistics=False).select("text", "score", "frequency")
 
 
-def substring_prune(spark, d, whole=False):
-    return words.drop_substrings(_candidates(spark, d, whole)).select("text", "score")
+def verify_flags_off(spark, d):
+    """Part names' words with no check in the text, no context and no statistics: all stay."""
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("frequency"))
+    cands = names.select(F.col("text").alias("ord"), "text", F.col("frequency").cast("double").alias("score"), "frequency")
+    off = words.verify(cands, _texts(spark, d), None, in_text=False, context=False, statistics=False)
+    return off.select("text", "score", "frequency", "verified", "context", "context_score", "statistical_score")
 
 
-def overlap_prune(spark, d, whole=False):
-    return words.drop_overlaps(_candidates(spark, d, whole)).select("text", "score")
+def verify_without_text_check(spark, d):
+    """The same with contexts and statistics, which are empty and those of no occurrence where a word isn't in the text."""
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("frequency"))
+    cands = names.select(F.col("text").alias("ord"), "text", F.col("frequency").cast("double").alias("score"), "frequency")
+    loose = words.verify(cands, _texts(spark, d), None, in_text=False)
+    return loose.select("text", F.round("context_score", 9).alias("context_score"), F.round("statistical_score", 9).alias("statistical_score"), F.length("context").cast("long").alias("context_chars"))
+
+
+def substring_prune(spark, d):
+    return words.drop_substrings(_candidates(spark, d)).select("text", "score")
+
+
+def overlap_prune(spark, d):
+    return words.drop_overlaps(_candidates(spark, d)).select("text", "score")
 
 
 def valid_candidate_filter(spark, d):
@@ -218,34 +245,58 @@ def valid_candidate_filter(spark, d):
     return c.where(F.octet_length("text").between(1, 3) & (F.col("frequency") >= 2) & is_valid_candidate(F.col("text")))
 
 
-def _pruned(spark, d, whole=False):
-    return words.prune(_verified(spark, d, whole), 2, 20, 0.5)
-
-
 def _shown(ranked: DataFrame) -> DataFrame:
     return ranked.select("rank", "word", F.round("score", 6).alias("score"), "frequency", "context")
 
 
-def rank_combined(spark, d, whole=False):
-    return _shown(words.rank(_verified(spark, d, whole), WordOptions().top_k if whole else 100))
+def rank_combined(spark, d):
+    return _shown(words.rank(_verified(spark, d), WORD.top_k))
+
+
+def rank_pmi(spark, d):
+    return _shown(words.rank(_verified(spark, d), WORD.top_k, "pmi"))
 
 
-def rank_pmi(spark, d, whole=False):
-    return _shown(words.rank(_verified(spark, d, whole), WordOptions().top_k if whole else 100, "pmi"))
+def _scores(spark, d):
+    both = ng.pmi(_lines(spark, d), 2, TOP_K, MIN_FREQ).unionByName(ng.pmi(_lines(spark, d), 3, TOP_K, MIN_FREQ))
+    return both.withColumn("pmi", F.round("pmi", 6))
 
 
-def word_extract_end_to_end(spark, d, whole=False):
-    return _shown(words.rank(_pruned(spark, d, whole), WordOptions().top_k if whole else 200))
+def word_extract_end_to_end(spark, d):
+    return _shown(api.extract_words(_scores(spark, d), _texts(spark, d)))
+
+
+def memory_estimate(spark, d):
+    """Bytes of the candidates and of the verified ones."""
+    cands = _candidates(spark, d)
+    return words.memory_estimate([cands, words.verify(cands, _texts(spark, d))])
+
+
+def result_arrays(spark, d):
+    """The best words as parallel arrays, and back to rows."""
+    best = ng.pmi(_lines(spark, d), 2, TOP_K, MIN_FREQ).select(F.col("ngram").alias("word"), F.round("pmi", 6).alias("score"), "frequency", F.lit("").alias("context"))
+    arrays = sinks.to_parallel_arrays(best, "word")
+    rows = arrays.select(F.posexplode(F.arrays_zip("words", "scores", "frequencies")).alias("place", "r"))
+    return rows.select(F.col("place").cast("long").alias("place"), F.col("r.words").alias("word"), F.col("r.scores").alias("score"), F.col("r.frequencies").alias("frequency"))
+
+
+def functional_words(spark, d):
+    given = spark.createDataFrame([(x,) for x in FUNCTIONAL], "text string")
+    return given.select("text", is_functional_word(F.col("text")).alias("functional"))
+
+
+#: Particles, polite endings and others.
+FUNCTIONAL = ("は", "から", "学習", "です", "行きます", "ました", "ください", "ませんか", "のは", "", "the", "より", "まで")
 
 
 def sample_lines(spark, d):
-    return _keyed(sampling.sample_lines(_lines(spark, d), 500, 42))
+    return _keyed(sampling.sample_lines(_lines(spark, d), SAMPLE, SAMPLE_SEED))
 
 
 def sample_all(spark, d):
     """A sample larger than the table is the table."""
-    lines = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("pos"), F.col("text").alias("line"))
-    return sampling.sample_lines(lines, 1_000_000, 7).select(F.col("pos").alias("item_id"), "line")
+    lines = _lines(spark, d)
+    return _keyed(sampling.sample_lines(lines, 1_000_000_000, 7))
 
 
 def _quoted(line: str) -> str:
@@ -273,35 +324,144 @@ def parallel_reduce(spark, d):
     return spark.createDataFrame([(total,)], "longest long")
 
 
-def _as_files(spark, d) -> str:
-    """The documents' lines as text files, as a stream's source."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-stream-")
-    path = f"{base}/inkwell/lines-{uuid.uuid4().hex}"
-    _lines(spark, d).select("line").write.option("lineSep", "\n").text(path)
+def for_each_line(spark, d):
+    """A function with a side effect, an accumulator, called for each line."""
+    chars = spark.sparkContext.accumulator(0)
+    n = maps.for_each(_lines(spark, d), lambda line: chars.add(len(line)))
+    return spark.createDataFrame([(n, chars.value)], "n_lines long, chars long")
+
+
+def observed_counters(spark, d):
+    """Counters that fill while another action runs."""
+    lines, seen = maps.observed(_lines(spark, d), "inkwell_lines")
+    lines.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["lines"], seen.get["bytes"])], "lines long, bytes long")
+
+
+def _as_folder(spark, d, end: str = "") -> str:
+    """The documents' lines, each followed by ``end``, as a folder of text files."""
+    path = shared_path(spark, "lines")
+    sinks.write_folder(_lines(spark, d).select(F.concat("line", F.lit(end)).alias("line")), path)
     return path
 
 
-def _streamed(spark, df: DataFrame, mode: str) -> DataFrame:
-    return streams.run_to_memory(df, f"inkwell_{uuid.uuid4().hex}", mode)
+def _as_file(spark, d) -> str:
+    """The documents' lines in order in one file."""
+    path = shared_path(spark, "file") + "/lines.txt"
+    sinks.write_lines(_lines(spark, d), path, order="pos")
+    return path
+
+
+def _line_counts(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_scan(spark, d):
+    return _line_counts(sources.read_lines(spark, _as_folder(spark, d)))
+
+
+def file_scan_without_cr(spark, d):
+    """Lines that end with CR LF in the files."""
+    return _line_counts(sources.read_lines(spark, _as_folder(spark, d, "\r"), strip_cr=True))
+
+
+def file_scan_in_order(spark, d):
+    """The lines of one file, numbered in its order."""
+    lines = norm.numbered(sources.read_lines(spark, _as_file(spark, d)))
+    return lines.select("number", "line")
+
+
+def file_pmi(spark, d):
+    """Scores of n-grams of a file's lines."""
+    return _rounded(ng.pmi(sources.read_lines(spark, _as_folder(spark, d)), 2, TOP_K, MIN_FREQ))
+
+
+def whole_file(spark, d):
+    whole = sources.read_whole(spark, _as_file(spark, d))
+    return whole.select(F.length("text").cast("long").alias("chars"), F.md5("text").alias("md5"))
+
+
+def file_chunks(spark, d):
+    """A file's bytes in pieces."""
+    chunks = sources.read_chunks(spark, _as_file(spark, d), CHUNK_BYTES)
+    return chunks.select("chunk_no", F.octet_length("chunk").cast("long").alias("n_bytes"), F.md5("chunk").alias("md5"))
+
+
+def score_table(spark, d):
+    """Scores with six significant digits as a table of tab-separated lines, read again."""
+    path = shared_path(spark, "scores") + "/pmi.tsv"
+    sinks.write_text(sinks.pmi_tsv(ng.pmi(_lines(spark, d), 2, TOP_K, MIN_FREQ)), path)
+    return sources.read_pmi(spark, path, WORD.min_pmi).select("ngram", "pmi", "frequency")
+
+
+def dictionary_file(spark, d):
+    """Part names' words as a dictionary file of one word a line, with repeats."""
+    path = shared_path(spark, "dictionary")
+    sinks.write_folder(spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("line")), path)
+    return sources.read_dictionary(spark, path)
+
+
+def normalize_file(spark, d):
+    """A file normalized into a file, in the order of first occurrence."""
+    path = shared_path(spark, "normalized") + "/out.txt"
+    api.normalize_file(spark, _as_file(spark, d), path)
+    return norm.numbered(sources.read_lines(spark, path)).select("number", "line")
+
+
+def word_file(spark, d):
+    """Words from a score table and a file, written as a table of escaped lines and read again."""
+    scores, out = shared_path(spark, "scores") + "/pmi.tsv", shared_path(spark, "words") + "/words.tsv"
+    sinks.write_text(sinks.pmi_tsv(ng.pmi(_lines(spark, d), 2, TOP_K, MIN_FREQ)), scores)
+    api.extract_words_file(spark, scores, _as_file(spark, d), out, WordOptions(top_k=50, ranking_model="pmi", remove_overlaps=False, remove_substrings=False, use_context=False))
+    rows = sources.read_lines(spark, out).where("line <> 'word\tscore\tfrequency\tcontext'").select(F.split("line", "\t", -1).alias("c"))
+    return rows.select(F.col("c")[0].alias("word"), F.col("c")[1].alias("score"), F.col("c")[2].cast("long").alias("frequency"), F.col("c")[3].alias("context"))
+
+
+def _buffer(spark, d) -> bytes:
+    """The benchmark's items as bytes in memory; buffers are small by nature."""
+    return "".join(r["text"] + "\n" for r in spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").collect()).encode()
+
+
+def normalize_buffer(spark, d):
+    out, stats = api.normalize_buffer(spark, _buffer(spark, d) * 2, NormalizeOptions())
+    lines = sources.buffer_lines(spark, out).select(F.col("pos").alias("number"), "line")
+    return lines.withColumns({"rows": F.lit(stats["rows"]).cast("long"), "uniques": F.lit(stats["uniques"]).cast("long")})
+
+
+def pmi_buffer(spark, d):
+    out, _ = api.pmi_buffer(spark, _buffer(spark, d), PmiOptions(2, 100, 3))
+    return sources.parse_pmi(sources.buffer_lines(spark, out), 0).select("ngram", "pmi", "frequency")
+
+
+#: XXH64 with seed 0 of some strings, as its authors publish and other implementations give them.
+HASHES = {"": 0xEF46DB3751D8E999, "a": 0xD24EC4F1A98C6E5B, "abc": 0x44BC2CF5AD770999}
+
+
+def line_hash_values(spark, d):
+    given = spark.createDataFrame([(x,) for x in HASHES], "line string")
+    return given.select("line", line_hash(F.col("line")).alias("hash"))
+
+
+def _streamed(df: DataFrame, mode: str) -> DataFrame:
+    return streams.run_to_table(df, mode)
 
 
 def stream_normalize(spark, d):
-    lines = streams.stream_lines(spark, _as_files(spark, d))
-    return _streamed(spark, streams.normalized_stream(lines).groupBy("line").agg(F.count(F.lit(1)).alias("n")), "complete")
+    lines = streams.stream_lines(spark, _as_folder(spark, d))
+    return _streamed(streams.normalized_stream(lines).groupBy("line").agg(F.count(F.lit(1)).alias("n")), "complete")
 
 
 def stream_dedup(spark, d):
-    return _streamed(spark, streams.distinct_stream(streams.stream_lines(spark, _as_files(spark, d))), "append")
+    return _streamed(streams.distinct_stream(streams.stream_lines(spark, _as_folder(spark, d))), "append")
 
 
 def stream_ngram_counts(spark, d):
-    return _streamed(spark, streams.ngram_stream(streams.stream_lines(spark, _as_files(spark, d)), 2), "complete")
+    return _streamed(streams.ngram_stream(streams.stream_lines(spark, _as_folder(spark, d)), 2), "complete")
 
 
-def ngrams_of_benchmark(spark, d):
-    """The n-gram function itself, on short texts."""
-    b = spark.read.parquet(f"{d}/benchmark.parquet")
-    return b.select("item_id", F.size(ngrams(F.col("text"), 3)).cast("long").alias("n"), F.element_at(ngrams(F.col("text"), 3), 1).alias("first"))
+def ngrams_of_lines(spark, d):
+    """The n-gram function itself."""
+    return _keyed(_lines(spark, d)).select("doc_id", "line_no", F.size(ngrams(F.col("line"), 3)).cast("long").alias("n"), F.try_element_at(ngrams(F.col("line"), 3), F.lit(1)).alias("first"))
 
 
 QUERIES = {
@@ -310,13 +470,11 @@ QUERIES = {
         lines_scan_count, line_filters, line_length_bounds, normalize_nfkc_lower, normalize_nfc, normalize_dedup, normalize_stats,
         normalize_batch_dedup, tsv_field_rules, line_hashes, ngram_counts_1, ngram_counts_2, ngram_counts_3, ngram_counts_5,
         ngram_total, component_counts, ngram_minfreq, unigram_topk, pmi_2_topk, pmi_3_topk, prefix_lookup, suffix_lookup, trie_nodes,
-        ngram_overwrite, candidates_capped, occurrence_counts, verify_in_text, context_window, context_score, statistical_score,
-        dictionary_anti, substring_prune, overlap_prune, valid_candidate_filter, rank_combined, rank_pmi, word_extract_end_to_end,
-        sample_lines, sample_all, line_map, batch_map, parallel_reduce, stream_normalize, stream_dedup, stream_ngram_counts,
-        ngrams_of_benchmark,
+        ngram_overwrite, candidates_all, candidates_capped, occurrence_counts, first_occurrences, text_offsets, verify_in_text, context_window,
+        context_score, statistical_score, dictionary_anti, verify_flags_off, verify_without_text_check, substring_prune, overlap_prune,
+        valid_candidate_filter, rank_combined, rank_pmi, word_extract_end_to_end, memory_estimate, result_arrays, functional_words,
+        sample_lines, sample_all, line_map, batch_map, parallel_reduce, for_each_line, observed_counters, file_scan, file_scan_without_cr,
+        file_scan_in_order, file_pmi, whole_file, file_chunks, score_table, dictionary_file, normalize_file, word_file, normalize_buffer,
+        pmi_buffer, line_hash_values, stream_normalize, stream_dedup, stream_ngram_counts, ngrams_of_lines,
     )
 }
-
-#: The same without the lowered limits; their results are held against brute force.
-WHOLE = (occurrence_counts, context_window, context_score, statistical_score, dictionary_anti, substring_prune, overlap_prune, rank_combined, rank_pmi, word_extract_end_to_end)
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,13 +27,51 @@ def write_folder(df: DataFrame, path: str, column: str = "line") -> None:
     df.select(column).write.mode("overwrite").text(path)
 
 
-def write_text(parts: Iterable[str], path: str) -> int:
+class _RemoteFile:
+    """A text file on any filesystem that Spark knows, written in blocks."""
+
+    def __init__(self, path: str):
+        sc = SparkSession.active().sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.exists(p) and fs.getFileStatus(p).isDirectory():
+            raise IsADirectoryError(path)
+        self.stream, self.held, self.size = fs.create(p, True), [], 0  # with its parent folders
+
+    def write(self, text: str) -> None:
+        self.held.append(text)
+        self.size += len(text)
+        if self.size >= 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.stream.write(bytearray("".join(self.held).encode("utf-8", "surrogatepass")))
+        self.held, self.size = [], 0
+
+    def close(self) -> None:
+        self.flush()
+        self.stream.close()
+
+
+def is_uri(path: str) -> bool:
+    """Whether a path names a filesystem, so that Spark's own access is needed."""
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path) is not None
+
+
+def _opened(path: str):
+    if is_uri(path):
+        return _RemoteFile(path)
     if os.path.isdir(path):
         raise IsADirectoryError(path)
-    if path != "-":
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    return open(path, "w", encoding="utf-8", newline="")
+
+
+def write_text(parts: Iterable[str], path: str) -> int:
+    """Write ``parts`` one after another to a local path, a URI of any filesystem, or standard output for ``-``; returns their number."""
     n = 0
-    out = sys.stdout if path == "-" else open(path, "w", encoding="utf-8", newline="")
+    out = sys.stdout if path == "-" else _opened(path)
     try:
         for part in parts:
             out.write(part)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import sys
 from collections.abc import Callable, Iterator
 
@@ -126,16 +125,25 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int) -> DataFrame:
 
 
 def process_lines(path: str, fn: Callable[[str], None]) -> int:
-    """Call ``fn`` for each line of a local file or standard input, without its CR; returns the number of lines."""
-    file = sys.stdin.buffer if is_stdin(path) else open(path, "rb")
-    n = 0
-    with file:
-        for raw in file:
-            line = raw.decode("utf-8", "replace").removesuffix("\n")
-            fn(line if is_stdin(path) else line.removesuffix("\r"))
+    """Call ``fn`` in the driver for each line of a file, folder, URI or standard input, without its CR; returns the number of lines.
+
+    Lines come a partition at a time; ``operators.maps.for_each`` calls in parallel.
+    """
+    if is_stdin(path):
+        n = 0
+        for raw in sys.stdin.buffer:
+            fn(raw.decode("utf-8", "replace").removesuffix("\n"))
             n += 1
+        return n
+    n = 0
+    for r in read_lines(SparkSession.active(), path, strip_cr=True).select("line").toLocalIterator():
+        fn(r["line"])
+        n += 1
     return n
 
 
-def path_size(path: str) -> int:
-    return os.path.getsize(path)
+def path_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder on any filesystem."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p).getLength()

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkwell.functions.text import is_excluded, ngrams, normalized_line
 from inkwell.operators.ngrams import pmi_scores, top_ngrams
+from inkwell.runtime import shared_path
 
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,8 +52,29 @@ def start_pmi(lines: DataFrame, n: int, min_freq: int, top_k: int, sink: Callabl
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its result as a table."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there into a table in the shared folder, and return the table.
+
+    In the modes ``complete`` and ``update`` each batch is a table of its own;
+    of ``complete`` the last one is returned, of ``update`` all.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "stream")
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    last: list[int] = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/epoch={epoch}")
+        last.append(epoch)
+
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{path}/table").start()
+    else:
+        query = writer.foreachBatch(write).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    if mode == "append":
+        return spark.read.schema(df.schema).parquet(f"{path}/table")
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    epochs = [last[-1]] if mode == "complete" else sorted(set(last))
+    return spark.read.schema(df.schema).parquet(*[f"{path}/table/epoch={e}" for e in epochs])

@@ -345,8 +345,21 @@ def test_mixing_against_sql(spark):
     got = rows_of(mixing.mix(clashing(frame).drop("domain")).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch"))
     assert got == sorted(sql(ORACLES["op5_source_mixing"], documents=frame.toPandas()), key=repr)
     assert {r[5] for r in got} == {0, 1}
-    chosen = Counter(r["doc_id"] for r in mixing.mix_documents(frame).collect())
-    assert chosen == Counter(r[0] for r in got)
+    for leaves in (1_000, 0):
+        chosen = Counter(r["doc_id"] for r in mixing.mix_documents(frame, broadcast_leaves=leaves).collect())
+        assert chosen == Counter(r[0] for r in got)
+
+
+def test_mixing_takes_as_many_of_equal_rows_as_were_chosen(spark):
+    """A third of all rows are one; the cut falls within them."""
+    rows = [(7, "a b c d", "en", "src1")] * 100 + [(i, "a b", "en", "src1") for i in range(200)] + [(None, "x y z", "en", "src1")] * 30
+    for share in ((1, 10), (3, 10), (5, 10), (8, 10), (13, 10)):
+        mixture = mixing.Mixture(budget=share, max_epochs=3)
+        frame = docs_of(spark, rows).repartition(5)
+        want = Counter(r["doc_id"] for r in mixing.mix(frame, mixture).collect())
+        got = mixing.mix_documents(clashing(frame), mixture)
+        assert got.columns == clashing(frame).columns
+        assert Counter(r["doc_id"] for r in got.collect()) == want
 
 
 def fill(budget, children):

@@ -9,9 +9,9 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from inkwell.llm import gbdt, langid, quality, words
+from inkwell.llm import decontaminate, gbdt, langid, minhash, mixing, quality, sharding, words
 from inkwell.llm.queries import QUERIES
-from tests.llm.test_exact import clashing, docs_of, odd_rows, rows_of
+from tests.llm.test_exact import clashing, components_of, docs_of, odd_rows, rows_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -311,6 +311,118 @@ def test_pipeline(spark, tmp_path):
     assert rows_of(corpus_pipeline.run(spark, SF)) == rows_of(before)
 
 
+def plain_pipeline(docs, items, forest):
+    """The rows of the pipeline from lists of documents (doc_id, text, lang, source, n_chars), stage by stage in plain Python."""
+
+    def good(text):
+        row, total = quality.statistics([text or ""])[0], forest.base
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.right[node] if row[forest.feature[node]] > forest.threshold[node] else forest.left[node]
+            total += forest.value[node]
+        return 1 / (1 + math.exp(-total)) >= quality.THRESHOLD
+
+    docs = [d for d in docs if good(d[1])]
+
+    signed = minhash.signatures([d[1] for d in docs])
+    pairs = [(i, int(j)) for i in range(len(docs)) for j in np.flatnonzero(np.count_nonzero(signed[:i] != signed[i], axis=1) <= minhash.MAX_DISTANCE)]
+    first = {}
+    for i, root in enumerate(components_of(len(docs), pairs)):
+        first[root] = min(first.get(root, i), i, key=lambda k: docs[k][0])
+    docs = [docs[i] for i in sorted(first.values())]
+
+    phrases = set()
+    for item in items:
+        w = [x.lower() for x in re.findall(r"[^\W_]+", item)]
+        n = min(decontaminate.PHRASE_WORDS, len(w))
+        phrases |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    assert min(map(len, phrases)) >= decontaminate.SHORT_WORDS
+    clean = []
+    for doc_id, text, lang, source, n_chars in docs:
+        found = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W_]+", text)]
+        tokens = [f[2] for f in found]
+        gone = bytearray(len(text))
+        for n in {len(p) for p in phrases}:
+            for i in range(len(tokens) - n + 1):
+                if tuple(tokens[i : i + n]) in phrases:
+                    a, b = found[i][0], found[i + n - 1][1]
+                    gone[a:b] = b"1" * (b - a)
+        if any(gone):
+            text = "".join(c for c, g in zip(text, gone) if not g)
+            n_chars = len(text)
+            if not any(c.isalnum() for c in text):
+                continue
+        clean.append((doc_id, text, lang, source, n_chars))
+
+    mixture, leaves = mixing.MIXTURE, {}
+    domain_of = {s: d for d, sources in mixture.domains.items() for s in sources}
+    for d in clean:
+        leaves.setdefault((domain_of.get(d[3], mixture.other_domain), d[2], d[3]), []).append((len(re.findall(r"[^ \t\n\r\f]+", d[1])), d))
+    tokens = {k: sum(n for n, _ in v) for k, v in leaves.items()}
+
+    def split(budget, weights, children):
+        rest, full, out = sum(weights[c] for c in children), 0, {}
+        order = sorted(children, key=lambda c: (children[c] / weights[c], c))
+        for i, c in enumerate(order):
+            if (budget - full) * weights[c] < children[c] * rest:
+                return out | {x: (budget - full) * weights[x] // rest for x in order[i:]}
+            out[c], full, rest = children[c], full + children[c], rest - weights[c]
+        return out
+
+    def caps(level, *above):
+        out = Counter()
+        for k, n in tokens.items():
+            if k[: len(above)] == above:
+                out[k[level]] += n * mixture.max_epochs
+        return out
+
+    class Weights(dict):
+        def __init__(self, known, other):
+            super().__init__(known)
+            self.other = other
+
+        def __missing__(self, _):
+            return self.other
+
+    chosen = []
+    num, den = mixture.budget
+    for domain, a in split(sum(tokens.values()) * num // den, Weights(mixture.domain_weights, mixture.other_domain_weight), caps(0)).items():
+        for lang, b in split(a, Weights(mixture.language_weights, mixture.other_weight), caps(1, domain)).items():
+            for source, c in split(b, Weights(mixture.source_weights, mixture.other_weight), caps(2, domain, lang)).items():
+                rows, (full, left) = leaves[domain, lang, source], divmod(c, tokens[domain, lang, source])
+                chosen += [d for _, d in rows] * full
+                for n, d in sorted(rows, key=lambda r: (hashlib.md5(f"{mixing.SEED}:{full}:{r[1][0]}".encode()).hexdigest(), r[1][0])):
+                    if n > left:
+                        break
+                    left -= n
+                    chosen.append(d)
+
+    strata = {}
+    for d in chosen:
+        strata.setdefault("=" + d[3], []).append((hashlib.md5(f"{sharding.SEED}:{d[0]}".encode()).hexdigest(), d[0], d))
+    ranked = [((r + 0.5) / len(v), k, key, i, d) for k, v in strata.items() for r, (key, i, d) in enumerate(sorted(v))]
+    return [(*d, place * sharding.N_SHARDS // len(ranked), place) for place, (*_, d) in enumerate(sorted(ranked))]
+
+
+def test_pipeline_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    want = plain_pipeline(rows, items, quality.fit(docs, labels))
+    got = corpus_pipeline.run(spark, sf).select("doc_id", "text", "lang", "source", "n_chars", "shard_id", "position")
+    assert rows_of(got) == sorted(want, key=repr) and len(want) > 50
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    docs = clashing(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        mine = [c for c in out.columns if c not in ("shard_id", "position")] if name == "sharding" else out.columns
+        assert mine == [c for c in docs.columns if name != "sharding" or c != "position"], name
+        assert out.count() > 0
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     docs = odd_rows(spark)
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

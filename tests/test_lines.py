@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from inkwell.functions import text as fn
 from inkwell.operators import maps, normalize as norm, sampling
 from inkwell.plans import api, cli
 from inkwell.plans.options import NormalizeOptions, PmiOptions, WordOptions
+from inkwell.plans.progress import Reporter
 from inkwell.sources import sinks
 from inkwell.sources import text as src
 
@@ -25,12 +27,12 @@ def normalized(spark, lines, form="NFKC", **kw):
     return [r["line"] for r in norm.normalize(frame(spark, lines), form, **kw).orderBy("pos").collect()]
 
 
-BASIC = ["Hello World", "hello world", "HELLO WORLD", "Ｈｅｌｌｏ　Ｗｏｒｌｄ", "#comment line", "a", ""]
+BASIC = ["Grüne Wiese", "grüne wiese", "GRÜNE WIESE", "Ｇｒüｎｅ　Ｗｉｅｓｅ", "#eine Bemerkung", "q", ""]
 
 
 def test_basic_lines(spark):
-    assert normalized(spark, BASIC) == ["hello world", "#comment line"]
-    assert "Hello World" in normalized(spark, BASIC, "NFC")
+    assert normalized(spark, BASIC) == ["grüne wiese", "#eine bemerkung"]
+    assert "Grüne Wiese" in normalized(spark, BASIC, "NFC")
     s = norm.normalize_stats(frame(spark, BASIC)).first()
     assert (s["rows"], s["uniques"], s["excluded"], s["duplicates"], s["removed"]) == (7, 2, 2, 3, 5)
 
@@ -133,6 +135,60 @@ def test_maps_and_folds(spark):
     got = maps.map_batches(lines, lambda b: [x for x in b if x.endswith("0")], 50)
     assert got.count() == 100
     assert maps.reduce_column(spark.range(1, 11), "id", lambda a, b: a + b, 0) == 55
+    assert maps.reduce_column(spark.range(0), "id", lambda a, b: a + b, 0) == 0
+    steps = spark.sparkContext.accumulator(0)
+    assert maps.for_each(lines, lambda x: None, lambda n: steps.add(n), 100) == 1001 and steps.value >= 100
+
+
+def test_large_samples_are_exact(spark):
+    lines = spark.range(300_000).selectExpr("id AS pos", "cast(id AS string) AS line")
+    for k in (1, 777, 150_000, 299_999):
+        got = sampling.sample_lines(lines, k, 9)
+        assert got.count() == k and got.select("pos").distinct().count() == k
+    assert sampling.sample_lines(lines, 10).count() == 10
+
+
+def test_batches_of_a_thousand_lines(spark):
+    lines = frame(spark, ["same", "other"] * 1_250).repartition(5)
+    got = norm.normalize_batches(lines).collect()
+    assert sorted((r["pos"], r["line"]) for r in got) == [(p, x) for b in (0, 1000, 2000) for p, x in ((b, "same"), (b + 1, "other"))]
+    assert [r["number"] for r in norm.numbered(lines).orderBy("pos").collect()] == list(range(2_500))
+
+
+def test_progress_steps_and_smoothed_time(spark):
+    now, seen, ratios = [0.0], [], []
+    report = Reporter(spark, seen.append, ratios.append, 0.1, lambda: now[0])
+    for t, x in ((1, 0.1), (2, 0.15), (3, 0.2), (9, 0.3), (10, 0.25)):
+        now[0] = t
+        report("processing", x)
+    report("complete", 1.0)
+    assert ratios == [0.1, 0.2, 0.3, 1.0] and [s["phase"] for s in seen][-1] == "complete" and seen[-1]["phase_ratio"] == 1.0
+    first, second = 9.0, 0.2 * 12 + 0.8 * 9.0
+    assert [round(s["eta_s"], 6) for s in seen] == [first, round(second, 6), round(0.2 * 21 + 0.8 * second, 6), 0.0]
+
+
+def test_progress_of_jobs_and_the_command_line(spark, tmp_path, capsys):
+    raw = tmp_path / "raw.txt"
+    raw.write_text("".join(f"line of text {i % 50}\n" for i in range(2_000)))
+    seen, ratios = [], []
+    done = api.normalize_file(spark, str(raw), str(tmp_path / "out.txt"), NormalizeOptions(progress_step=0.2), seen.append, ratio=ratios.append)
+    assert done.stats["rows"] == 2_000 and done.stats["uniques"] == 50 and ratios == sorted(ratios) and ratios[-1] == 1.0
+    assert {s["phase"] for s in seen} >= {"reading", "processing", "complete"} and seen[-1]["bytes"] == raw.stat().st_size
+    cli.main(["normalize", str(raw), str(tmp_path / "o2.txt"), "--progress", "json"], spark)
+    shown = [json.loads(x) for x in capsys.readouterr().err.splitlines() if x.startswith("{")]
+    assert [s["progress"] for s in shown] == sorted({s["progress"] for s in shown}) and "eta" in shown[0]
+
+
+def test_files_by_uri(spark, tmp_path):
+    path = f"file://{tmp_path}/new/folder/out.txt"
+    assert sinks.write_text((f"zeile {i}\n" for i in range(100_000)), path) == 100_000
+    assert (tmp_path / "new/folder/out.txt").read_text().splitlines()[-1] == "zeile 99999"
+    seen = []
+    assert src.process_lines(path, seen.append) == 100_000 and seen[:2] == ["zeile 0", "zeile 1"]
+    assert src.path_size(spark, path) == (tmp_path / "new/folder/out.txt").stat().st_size
+    with pytest.raises(IsADirectoryError):
+        sinks.write_text(["x"], f"file://{tmp_path}/new")
+    assert not sinks.is_uri("C:/x") and not sinks.is_uri("/a:b/c") and sinks.is_uri("hdfs://n/x") and sinks.is_uri("s3a://b/x")
 
 
 def test_batch_scoped_dedup_and_buffers(spark):

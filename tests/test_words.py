@@ -53,7 +53,7 @@ def test_lookup(spark):
     assert ng.with_prefix(last, "hel").count() == 3
     assert [r["ngram"] for r in ng.with_suffix(last, "ld").collect()] == ["world"]
     assert ng.with_prefix(last, "xyz").count() == 0
-    assert ng.prefix_tree_nodes(spark.createDataFrame([("ab",), ("ac",)], "ngram string")).first()["nodes"] == 4
+    assert ng.prefix_tree_nodes(spark.createDataFrame([("ab",), ("ac",)], "ngram string")).first()[:] == (4, 4 * ng.NODE_BYTES)
 
 
 def cands(spark, rows):
@@ -84,12 +84,33 @@ def test_occurrences_and_contexts_against_brute_force(spark):
     joined = "\n".join(lines)
     words = sorted({joined[i : i + n] for n in (1, 2, 3, 5) for i in range(0, len(joined) - n) if "\n" not in joined[i : i + n]})
     frame = spark.createDataFrame([(x,) for x in words], "text string")
-    placed = w.with_offsets(texts(spark, lines), bucket_rows=7).persist()
-    found = w.occurrences_in(placed, frame).persist()
-    got = {r["text"]: (r["occurrences"], r["first"]) for r in found.collect()}
-    assert got == {x: (joined.count(x), joined.index(x)) for x in words}
-    ctx = {r["text"]: r["context"] for r in w.contexts_of(placed, found, bucket=16).collect()}
-    assert ctx == {x: joined[max(0, q - 20) : q + 20] for x in words for q in [joined.index(x)]}
+    given = texts(spark, lines).repartition(6)
+    offsets = {r["seq"]: (r["start"], r["size"]) for r in w.with_offsets(given).collect()}
+    assert offsets == {i: (sum(len(x) + 1 for x in lines[:i]), len(x)) for i, x in enumerate(lines)}
+    for most in (1_000_000, 7):
+        found = w.occurrences_in(given, frame, most).persist()
+        got = {r["text"]: (r["occurrences"], offsets[r["seq"]][0] + r["at"]) for r in found.collect()}
+        assert got == {x: (joined.count(x), joined.index(x)) for x in words}
+        ctx = {r["text"]: r["context"] for r in w.contexts_of(given, found, pass_words=most).collect()}
+        assert ctx == {x: joined[max(0, q - 20) : q + 20] for x in words for q in [joined.index(x)]}
+
+
+def test_repeats_within_words_and_long_texts(spark):
+    long = "ab" * 400_000 + "aaa" * 5 + "zq"
+    rows = spark.createDataFrame([(2, long), (1, "aaaa\nzq"), (3, None), (9, "")], "seq long, text string")
+    words = spark.createDataFrame([("aa",), ("aba",), ("zq",), ("aaa",), ("none",), (None,)], "text string")
+    got = {r["text"]: r[1:] for r in w.occurrences_in(rows, words).collect()}
+    joined = "aaaa\nzq\n" + long + "\n"
+    assert {k: v[0] for k, v in got.items()} == {x: joined.count(x) for x in ("aa", "aba", "zq", "aaa")}
+    assert got["zq"][1:] == (1, 5) and got["aba"][1:] == (2, 0)
+
+
+def test_longer_ngrams_against_brute_force(spark):
+    rng = random.Random(13)
+    lines = ["".join(rng.choice("ab学😀") for _ in range(rng.randrange(0, 40))) for _ in range(150)] + ["", "ab\nab", None]
+    for n in (4, 5, 6, 7):
+        want = Counter(x[i : i + n] for line in lines if line for x in line.split("\n") for i in range(len(x) - n + 1))
+        assert {r["ngram"]: r["frequency"] for r in ng.ngram_counts(lines_frame(spark, lines), n).collect()} == dict(want)
 
 
 def brute_overlaps(rows):
@@ -160,7 +181,7 @@ def test_extract_end_to_end(spark):
 
 
 def test_whole_extraction_against_brute_force(spark, tmp_path):
-    """More candidates than the 300 a length and 400 in all of the queries that SQL checks; frequencies from 3, ranks to 1000."""
+    """The word queries over a small table of their own; more than a thousand candidates, frequencies from 3."""
     rng = random.Random(11)
     letters = "abcdefgéß" + "".join(chr(0x4E00 + i) for i in range(200))
     vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 5))) for _ in range(700)]
@@ -172,7 +193,7 @@ def test_whole_extraction_against_brute_force(spark, tmp_path):
     assert len(want) > 1000 and min(c for _, c in want.values()) == 3 and min(s for s, _ in want.values()) < 2
 
     def got(name, *columns):
-        return [tuple(r[c] for c in columns) for r in QUERIES[name + "_whole"](spark, str(tmp_path)).collect()]
+        return [tuple(r[c] for c in columns) for r in QUERIES[name](spark, str(tmp_path)).collect()]
 
     count = {g: joined.count(g) for g in want}
     context = {g: joined[max(0, q - 20) : q + 20] for g in want for q in [joined.index(g)]}
@@ -201,7 +222,6 @@ def test_whole_extraction_against_brute_force(spark, tmp_path):
     ranked("rank_pmi", want, lambda g: want[g][0])
     sized = [(g, s) for g, s in rows if 2 <= len(g.encode()) <= 20]
     ranked("word_extract_end_to_end", [g for g, _ in brute_overlaps(brute_substrings(sized))], total)
-    assert not {f"{name}_whole" for name in ("candidates_capped", "verify_in_text")} & set(QUERIES)
 
 
 def test_streams(spark, tmp_path):
@@ -209,11 +229,11 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("Hello\nhello\nabab\n\n")
     (tmp_path / "in" / "b.txt").write_text("hello\nabab\nzz\n")
     lines = streams.stream_lines(spark, str(tmp_path / "in"))
-    got = streams.run_to_memory(streams.distinct_stream(streams.normalized_stream(lines)), "t_distinct")
+    got = streams.run_to_table(streams.distinct_stream(streams.normalized_stream(lines)))
     assert sorted(r["line"] for r in got.collect()) == ["abab", "hello", "zz"]
     seen = []
     q = streams.start_pmi(lines, 2, 1, 10, lambda df, epoch: seen.append(df.collect()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert {r["ngram"]: r["frequency"] for r in seen[-1]}["ab"] == 4
     timed = lines.withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:10")))
-    assert streams.run_to_memory(streams.windowed_counts(timed, "ts", "1 minute", "1 minute"), "t_windows", "complete").first()["lines"] == 7
+    assert streams.run_to_table(streams.windowed_counts(timed, "ts", "1 minute", "1 minute"), "complete").first()["lines"] == 7
