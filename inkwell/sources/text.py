@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.runtime import ship
 
+#: Bytes of a file that are read at once.
+_READ = 1 << 22
+
 
 def is_stdin(path: str) -> bool:
     return path == "-"
@@ -55,12 +60,40 @@ def lines_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): each file's whole content, with CR LF as LF."""
+    """(path, text): each file's whole content, with CR LF as LF. A file is one row, so it has to fit into a task's memory."""
     _must_exist(spark, path)
     raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("text"))
 
 
+def whole_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, chars, md5) of each file's whole content (UTF-8), with CR LF as LF; files of any size are read as a stream.
+
+    Empty files have no row, as in :func:`read_whole`. An MD5 is a fold over the bytes in their order, so a file is one task's work.
+    """
+    _must_exist(spark, path)
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                md5, chars, held = hashlib.md5(usedforsecurity=False), 0, b""
+                fs, at = _opener(name)
+                with fs.open_input_stream(at, compression=None) as f:
+                    more = True
+                    while more:
+                        data = f.read(_READ)
+                        more, data = bool(data), held + data
+                        held = b"\r" if more and data.endswith(b"\r") else b""  # its line feed may follow
+                        data = data[: len(data) - len(held)].replace(b"\r\n", b"\n")
+                        md5.update(data)
+                        chars += int(np.count_nonzero(np.frombuffer(data, np.int8) >= -64))  # no continuation bytes
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([chars], pa.int64()), pa.array([md5.hexdigest()])], names=["path", "chars", "md5"])
+
+    return files.mapInArrow(digest, "path string, chars long, md5 string")
+
+
 def read_pmi(spark: SparkSession, path: str, min_score: float = 1.0) -> DataFrame:
     """(pos, ngram, pmi, frequency) of a tab-separated table.
 
@@ -103,6 +136,13 @@ def read_dictionary(spark: SparkSession, path: str | None) -> DataFrame:
         return spark.createDataFrame([], "text string")
 
 
+def _opener(name: str):
+    """The filesystem of a file as Spark names it, and the file's path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(name if "://" in name else "file://" + name.removeprefix("file:"))
+
+
 def read_chunks(spark: SparkSession, path: str, chunk_bytes: int) -> DataFrame:
     """(path, chunk_no, chunk): the raw bytes of files in pieces, read as a stream."""
     _must_exist(spark, path)

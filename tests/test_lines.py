@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -102,6 +103,18 @@ def test_sources_keep_carriage_returns_and_order(spark, tmp_path):
         src.read_lines(spark, str(tmp_path / "none"))
 
 
+@pytest.mark.parametrize("read", [1, 3, 1 << 22])
+def test_whole_files_are_digested_as_streams(spark, tmp_path, monkeypatch, read):
+    """Line ends, characters of several bytes and a last carriage return, wherever the reads are cut."""
+    monkeypatch.setattr(src, "_READ", read)
+    for name, data in (("a", "é\r\n\r\r\n学😀\rx\n\r".encode()), ("b", b""), ("c", b"\r\n" * 50)):
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"][-1]: (r["chars"], r["md5"]) for r in src.whole_digests(spark, str(tmp_path)).collect()}
+    whole = {p.name: p.read_bytes().replace(b"\r\n", b"\n") for p in tmp_path.iterdir() if p.stat().st_size}
+    assert got == {k: (len(v.decode()), hashlib.md5(v).hexdigest()) for k, v in whole.items()}
+    assert got == {r["path"][-1]: (len(r["text"]), hashlib.md5(r["text"].encode()).hexdigest()) for r in src.read_whole(spark, str(tmp_path)).collect()}
+
+
 def test_pmi_table_source(spark, tmp_path):
     p = tmp_path / "t.tsv"
     p.write_text('ngram\tscore\tfreq\n人工知能\t5.2\t10\nmalformed\nno_freq\t4.5\nbad\tabc\t7\n"q\t3.0\t2\textra\nlow\t0.5\t9\nneg\t-1\t4\n')
