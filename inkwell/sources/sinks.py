@@ -5,21 +5,107 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.runtime import shared_dir, shared_path, ship
+
 
 def write_lines(df: DataFrame, path: str, column: str = "line", order: str | None = None) -> int:
-    """One ordered file (or standard output for ``-``, nothing for ``null``), a partition at a time; returns the lines."""
+    """One ordered file (or standard output for ``-``, nothing for ``null``); returns the lines.
+
+    All tasks write parts, which then become one file; only lines for standard output are sent to the driver.
+    """
     if order:
         df = df.orderBy(order)
     if path == "null":
         df.write.format("noop").mode("overwrite").save()
         return -1
-    return write_text((r[0] + "\n" for r in df.select(column).toLocalIterator()), path)
+    if path == "-":
+        return write_text((r[0] + "\n" for r in df.select(column).toLocalIterator()), path)
+    spark = df.sparkSession
+    parts, seen = shared_path(spark, "parts"), Observation()
+    _target(spark, path)
+    counted = df.select(column).observe(seen, F.count(F.lit(1)).alias("lines"))
+    counted.write.option("compression", "none").option("lineSep", "\n").text(parts)
+    _join_parts(spark, parts, path)
+    return seen.get["lines"]
+
+
+def _target(spark: SparkSession, path: str) -> tuple:
+    """The filesystem and the path of a file to write, which may not be a folder; paths that are no URI are the driver's."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path if is_uri(path) else f"file://{os.path.abspath(path)}")
+    fs = p.getFileSystem(conf)
+    if fs.exists(p) and fs.getFileStatus(p).isDirectory():
+        raise IsADirectoryError(path)
+    return fs, p
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The local path under which all executors reach ``path``: those in the shared folder, where that is a mounted one."""
+    root, at = (re.sub(r"^file:/+", "/", x) for x in (shared_dir(spark), path))
+    return at if at.startswith(root.rstrip("/") + "/") and not is_uri(at) else None
+
+
+def _join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of ``folder`` one after another in a file; the folder goes.
+
+    In a mounted shared folder all tasks copy their parts to their places.
+    Elsewhere a file can only be written from its start, or is the driver's own:
+    there the driver's JVM copies block by block, and holds one block.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(folder)
+    held = source.getFileSystem(conf)
+    found = [(int(m[1]), x.getPath(), x.getLen()) for x in held.listStatus(source) if (m := re.match(r"part-(\d+)", x.getPath().getName()))]
+    found.sort(key=lambda x: (x[0], x[1].getName()))
+    fs, target = _target(spark, path)
+    fs.delete(target, False)  # with its checksum, if it has one
+    at = _mounted(spark, path)
+    if at and (inside := _mounted(spark, folder)):
+        rows, end = [], 0
+        for _, p, size in found:
+            if size:
+                rows.append((f"{inside}/{p.getName()}", end))
+            end += size
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "wb") as f:
+            f.truncate(end)
+        _copy_to_places(spark, rows, at)
+    else:
+        out = fs.create(target, True) if is_uri(path) else fs.getRawFileSystem().create(target, True)
+        try:
+            for _, p, _ in found:
+                part = held.open(p)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+        finally:
+            out.close()
+    held.delete(source, True)
+
+
+def _copy_to_places(spark: SparkSession, rows: list[tuple[str, int]], target: str) -> None:
+    """Copy local files to given places of a file; a task that runs again writes the same bytes again."""
+    ship(spark)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(name, "rb") as part, open(target, "r+b") as out:
+                    out.seek(at)
+                    shutil.copyfileobj(part, out, 1 << 20)
+            yield batch.slice(0, 0)
+
+    kind = "name string, at long"
+    spark.createDataFrame(rows, kind).mapInArrow(copy, kind).write.format("noop").mode("overwrite").save()
 
 
 def write_folder(df: DataFrame, path: str, column: str = "line") -> None:

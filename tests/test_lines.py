@@ -1,11 +1,13 @@
 import hashlib
 import json
+import os
 import random
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from inkwell import runtime
 from inkwell.functions import text as fn
 from inkwell.operators import maps, normalize as norm, sampling
 from inkwell.plans import api, cli
@@ -261,3 +263,44 @@ def test_sinks(spark, tmp_path):
     assert sinks.escaped("a\tb\nc\\") == "a\\tb\\nc\\\\"
     ranked = spark.createDataFrame([(2, "b", 1.0, 3, "y"), (1, "a", 2.0, 4, "x")], "rank long, word string, score double, frequency long, context string")
     assert sinks.to_parallel_arrays(ranked, "rank").first()["words"] == ["a", "b"]
+
+
+def _sent(spark, do):
+    """What ``do`` returns, and whether it fetched rows one by one."""
+    from pyspark.sql.classic.dataframe import DataFrame as Rows
+
+    kept, used = Rows.toLocalIterator, []
+    Rows.toLocalIterator = lambda self, *a, **k: used.append(1) or kept(self, *a, **k)
+    try:
+        return do(), bool(used)
+    finally:
+        Rows.toLocalIterator = kept
+
+
+@pytest.mark.parametrize("place", ["shared", "plain", "uri"])
+def test_ordered_files_are_written_by_the_tasks(spark, tmp_path, place):
+    """In the shared folder, on a path of the driver and on a URI; an older file and its checksum go; the parts are removed."""
+    root = {"shared": runtime.shared_path(spark, "t"), "plain": f"{tmp_path}/new dir", "uri": f"file://{tmp_path}/u"}[place]
+    path = f"{root}/lines.txt"
+    sinks.write_text(["old\n" * 1000], path if sinks.is_uri(path) else f"file://{path}")
+    n = 5_000
+    lines = spark.range(n).selectExpr("id AS pos", "concat('zéile ', id) AS line").repartition(7)
+    assert _sent(spark, lambda: sinks.write_lines(lines, path, order="pos")) == (n, False)
+    local = path.removeprefix("file://")
+    assert open(local, encoding="utf-8").read() == "".join(f"zéile {i}\n" for i in range(n))
+    assert [r["line"] for r in src.read_lines(spark, path).orderBy("pos").limit(2).collect()] == ["zéile 0", "zéile 1"]
+    assert not [p for p in os.listdir(f"{runtime.shared_dir(spark)}/inkwell".removeprefix("file://")) if p.startswith("parts-")]
+    assert sinks.write_lines(lines.where("false"), path, order="pos") == 0 and os.path.getsize(local) == 0
+    with pytest.raises(IsADirectoryError):
+        sinks.write_lines(lines, root, order="pos")
+
+
+def test_more_parts_than_digits(spark, tmp_path):
+    """Parts are put together by their number, not by their name."""
+    folder = runtime.shared_path(spark, "parts")
+    os.makedirs(folder)
+    for i in (9, 100_000, 99_999):
+        with open(f"{folder}/part-{i:05d}-x-c000.txt", "w") as f:
+            f.write(f"{i}\n")
+    sinks._join_parts(spark, folder, str(tmp_path / "out.txt"))
+    assert (tmp_path / "out.txt").read_text() == "9\n99999\n100000\n" and not os.path.exists(folder)
