@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from inkwell.runtime import ship
 
-#: Bytes of a file that are read at once.
+#: Bytes of a file that are read at once, and that a task cuts into chunks.
 _READ = 1 << 22
+_RANGE = 1 << 24
 
 
 def is_stdin(path: str) -> bool:
@@ -144,24 +145,25 @@ def _opener(name: str):
 
 
 def read_chunks(spark: SparkSession, path: str, chunk_bytes: int) -> DataFrame:
-    """(path, chunk_no, chunk): the raw bytes of files in pieces, read as a stream."""
+    """(path, chunk_no, chunk): the raw bytes of files in pieces; ranges of about ``_RANGE`` bytes are tasks of their own."""
     _must_exist(spark, path)
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path")
+    per = max(1, _RANGE // chunk_bytes)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    last = ((F.col("length") - 1) / F.lit(per * chunk_bytes)).cast("long")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("r"))
+    tasks = min(10_000, max(1, -(-path_size(spark, path) // (per * chunk_bytes))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
-
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                fs, at = pafs.FileSystem.from_uri(name if "://" in name else "file://" + name.removeprefix("file:"))
-                with fs.open_input_stream(at, compression=None) as f:
-                    n = 0
-                    while data := f.read(chunk_bytes):
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([data])], names=["path", "chunk_no", "chunk"])
-                        n += 1
+            for name, length, r in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, at = _opener(name)
+                with fs.open_input_file(at) as f:
+                    f.seek(r * per * chunk_bytes)
+                    for n in range(r * per, min((r + 1) * per, -(-length // chunk_bytes))):
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([f.read(min(chunk_bytes, length - n * chunk_bytes))])], names=["path", "chunk_no", "chunk"])
 
-    return files.mapInArrow(cut, "path string, chunk_no long, chunk binary")
+    return ranges.repartition(tasks).mapInArrow(cut, "path string, chunk_no long, chunk binary")
 
 
 def process_lines(path: str, fn: Callable[[str], None]) -> int:

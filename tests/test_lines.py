@@ -304,3 +304,17 @@ def test_more_parts_than_digits(spark, tmp_path):
             f.write(f"{i}\n")
     sinks._join_parts(spark, folder, str(tmp_path / "out.txt"))
     assert (tmp_path / "out.txt").read_text() == "9\n99999\n100000\n" and not os.path.exists(folder)
+
+
+def test_chunks_are_cut_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(src, "_RANGE", 64)
+    (tmp_path / "a").write_bytes(bytes(range(256)) * 4 + b"end")
+    (tmp_path / "b").write_bytes(b"")
+    (tmp_path / "c").write_bytes(b"x" * 64)
+    chunks = src.read_chunks(spark, str(tmp_path), 10)
+    assert chunks.select(F.spark_partition_id()).distinct().count() > 1
+    rows = chunks.orderBy("path", "chunk_no").collect()
+    for name in "abc":
+        own = [r for r in rows if r["path"].endswith(f"/{name}")]
+        assert b"".join(bytes(r["chunk"]) for r in own) == (tmp_path / name).read_bytes()
+        assert [r["chunk_no"] for r in own] == list(range(len(own))) and all(len(r["chunk"]) == 10 for r in own[:-1])
