@@ -91,8 +91,8 @@ def ngrams(text: Column, n: int) -> Column:
     """All windows of ``n`` code points; no windows if the text is shorter, empty or null, or n < 1."""
     if n < 1:
         return F.array().cast("array<string>")
-    windows = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, windows).otherwise(F.array().cast("array<string>"))
+    # each match takes one code point and looks ahead at its window: one walk over the text, where a substring counts from the start
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), F.array().cast("array<string>"))
 
 
 def occurrences(text: Column, pattern: Column) -> Column:

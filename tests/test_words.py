@@ -1,9 +1,11 @@
 import math
 import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import ngrams
 from inkwell.operators import ngrams as ng
 from inkwell.operators import words as w
 from inkwell.plans import api
@@ -41,6 +43,23 @@ def test_pmi_against_brute_force(spark):
     assert {r["ngram"]: r["frequency"] for r in ng.ngram_counts(lines_frame(spark, lines), 4).collect()} == dict(want)
 
 
+def test_long_lines_are_walked_once(spark):
+    """Windows of a line of 300,000 characters: a substring that counts from the start took minutes."""
+    line = "aé学😀b" * 60_000
+    began = time.monotonic()
+    row = spark.createDataFrame([(line,)], "line string").select(F.size(ngrams(F.col("line"), 3)).alias("n"), F.hash(ngrams(F.col("line"), 3)).alias("h"), F.slice(ngrams(F.col("line"), 3), 299_994, 10).alias("last")).first()
+    assert row["n"] == 299_998 and row["last"] == [line[i : i + 3] for i in range(299_993, 299_998)]
+    assert time.monotonic() - began < 30
+
+
+def test_windows_of_odd_lines(spark):
+    odd = ["a\nb\r\u2028c", "e\u0301e\u0301", "😀😀😀", "👨\u200d👩", "$1\\E.*", "ab", "\0\0\0\0", None]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i long, line string").select("i", *[ngrams(F.col("line"), n).alias(f"n{n}") for n in (1, 2, 3, 5)]).orderBy("i").collect()
+    for r, line in zip(rows, odd):
+        for n in (1, 2, 3, 5):
+            assert r[f"n{n}"] == [line[i : i + n] for i in range(len(line) - n + 1)] if line else r[f"n{n}"] == []
+
+
 def test_pmi_of_nothing(spark):
     assert ng.pmi(lines_frame(spark, []), 2).count() == 0
     assert ng.ngram_counts(lines_frame(spark, ["a", ""]), 2).count() == 0
