@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from inkwell.functions.text import is_excluded, ngrams, normalized_line
-from inkwell.operators.ngrams import pmi_scores, top_ngrams
+from inkwell.functions.text import is_excluded, normalized_line
+from inkwell.operators.ngrams import ngram_counts, pmi_scores, top_ngrams
 from inkwell.runtime import shared_path
 
 
@@ -32,8 +32,8 @@ def distinct_stream(lines: DataFrame, time: str | None = None, delay: str = "1 h
 
 
 def ngram_stream(lines: DataFrame, n: int) -> DataFrame:
-    """(ngram, frequency) so far; for output modes complete and update."""
-    return lines.select(F.explode(ngrams(F.col("line"), n)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("frequency"))
+    """(ngram, frequency) so far; for output modes complete and update. Tasks count before the state's shuffle, as in the batch engine."""
+    return ngram_counts(lines, n)
 
 
 def windowed_counts(lines: DataFrame, time: str, window: str, delay: str) -> DataFrame:

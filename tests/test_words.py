@@ -256,3 +256,16 @@ def test_streams(spark, tmp_path):
     assert {r["ngram"]: r["frequency"] for r in seen[-1]}["ab"] == 4
     timed = lines.withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:10")))
     assert streams.run_to_table(streams.windowed_counts(timed, "ts", "1 minute", "1 minute"), "complete").first()["lines"] == 7
+
+
+def test_stream_counts_in_the_tasks(spark, tmp_path):
+    """Two batches of a stream: sums go into the state, not a row for each n-gram that occurs."""
+    (tmp_path / "in").mkdir()
+    parts = [["Hello", "aaaa", "é学😀x"] * 50, ["aaaa", "", "z", "hello"] * 50]
+    for i, rows in enumerate(parts):
+        (tmp_path / "in" / f"{i}.txt").write_text("\n".join(rows) + "\n")
+    lines = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", 1).text(str(tmp_path / "in")).withColumnRenamed("value", "line")
+    counts = streams.ngram_stream(lines, 2)
+    assert "Generate" not in counts._jdf.queryExecution().analyzed().toString()
+    want = Counter(x[i : i + 2] for rows in parts for x in rows for i in range(len(x) - 1))
+    assert {r["ngram"]: r["frequency"] for r in streams.run_to_table(counts, "complete").collect()} == dict(want)
