@@ -15,7 +15,10 @@ from inkwell.runtime import ship, written
 #: Code points in 21 bits: as many of them fit into a signed 64-bit number.
 PACKED_N = 3
 _BITS = 21
-_PIECE = 1 << 20
+#: Characters whose n-grams are listed at once, lines taken from a batch at once, and counts that a task holds before it sums them.
+_PIECE = 1 << 18
+_ROWS = 1_000
+_HELD = 500_000
 
 #: Distinct n-grams as one or more columns of packed code points, and their counts.
 Counts = tuple[list[np.ndarray], np.ndarray]
@@ -61,6 +64,22 @@ def _unpacked(keys: list[np.ndarray], n: int) -> list[str]:
     return [joined[i : i + n] for i in range(0, len(joined), n)]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    """The texts of the first column in lists of about ``_PIECE`` characters; a batch becomes strings ``_ROWS`` rows at a time."""
+    for batch in batches:
+        texts, size = [], 0
+        for start in range(0, batch.num_rows, _ROWS):
+            for t in batch.column(0).slice(start, _ROWS).to_pylist():
+                if t:
+                    texts.append(t)
+                    size += len(t)
+                if size > _PIECE:
+                    yield texts
+                    texts, size = [], 0
+        if texts:
+            yield texts
+
+
 def ngram_counts(lines: DataFrame, n: int, column: str = "line") -> DataFrame:
     """(ngram, frequency) over all lines; n-grams don't cross line feeds, null and short lines have none.
 
@@ -73,6 +92,7 @@ def ngram_counts(lines: DataFrame, n: int, column: str = "line") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Counts] = []
+        most = _HELD
 
         def merged() -> Counts:
             return _summed([np.concatenate(k) for k in zip(*(k for k, _ in held))], np.concatenate([c for _, c in held]))
@@ -81,23 +101,14 @@ def ngram_counts(lines: DataFrame, n: int, column: str = "line") -> DataFrame:
             for s in range(0, len(c), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(_unpacked([k[s : s + 100_000] for k in keys], n), pa.string()), pa.array(c[s : s + 100_000])], names=["ngram", "frequency"])
 
-        for batch in batches:
-            texts, size = [], 0
-            for t in batch.column(0).to_pylist():
-                if t:
-                    texts.append(t)
-                    size += len(t)
-                if size > _PIECE:
-                    held.append(_packed_counts(texts, n))
-                    texts, size = [], 0
-            if texts:
-                held.append(_packed_counts(texts, n))
-            if sum(len(c) for _, c in held) > 2_000_000:
+        for piece in _pieces(batches):
+            held.append(_packed_counts(piece, n))
+            if sum(len(c) for _, c in held) > most:
                 one = merged()
-                held = [one]
+                held, most = [one], max(_HELD, 2 * len(one[1]))
                 if len(one[1]) > 1_000_000:
                     yield from emit(*one)
-                    held = []
+                    held, most = [], _HELD
         if held:
             yield from emit(*merged())
 

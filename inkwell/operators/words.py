@@ -21,6 +21,8 @@ CONTEXT = 20
 PASS_WORDS = 1_000_000
 #: Characters of joined texts that are searched at a time.
 _PIECE = 1 << 19
+#: Rows of a batch that become strings at a time.
+_ROWS = 500
 _BITS = 22
 
 
@@ -140,8 +142,8 @@ def occurrences_in(texts: DataFrame, words: DataFrame, pass_words: int = PASS_WO
             f = shared.value
             count = np.zeros(len(f.words), np.int64)
             seq, at = np.full(len(f.words), _LAST), np.full(len(f.words), _LAST)
-            for batch in batches:
-                all_texts, all_seq = batch.column("text").to_pylist(), batch.column("seq").to_numpy()
+            for part in (b.slice(s, _ROWS) for b in batches for s in range(0, b.num_rows, _ROWS)):
+                all_texts, all_seq = part.column("text").to_pylist(), part.column("seq").to_numpy()
                 sizes = np.array([len(t) + 1 for t in all_texts], np.int64)
                 cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _PIECE, prepend=0))
                 for lo, hi in zip([0, *cuts], [*cuts, len(sizes)]):

@@ -1,8 +1,10 @@
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import ngrams
@@ -60,6 +62,30 @@ def test_windows_of_odd_lines(spark):
             assert r[f"n{n}"] == [line[i : i + n] for i in range(len(line) - n + 1)] if line else r[f"n{n}"] == []
 
 
+def test_tasks_hold_little_and_count_all(spark, monkeypatch):
+    """Pieces and sums far smaller than the input, in every combination of batch, piece and sum."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdé学😀") for _ in range(rng.randrange(0, 40))) for _ in range(700)] + ["x" * 5_000, "", "aa\nbb"]
+    want = Counter(x[i : i + 3] for line in lines for x in line.split("\n") for i in range(len(x) - 2))
+    for piece, rows, held in ((1, 1, 1), (100, 7, 50), (1 << 18, 1_000, 500_000)):
+        monkeypatch.setattr(ng, "_PIECE", piece)
+        monkeypatch.setattr(ng, "_ROWS", rows)
+        monkeypatch.setattr(ng, "_HELD", held)
+        assert {r["ngram"]: r["frequency"] for r in ng.ngram_counts(lines_frame(spark, lines).coalesce(1), 3).collect()} == dict(want)
+
+
+def test_pieces_do_not_list_a_whole_batch():
+    """A batch of 20,000 rows: what is held as strings at a time is bounded by rows and characters, and nothing is left out."""
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i:0100d}" for i in range(20_000)])], names=["line"])
+    tracemalloc.start()
+    n = chars = 0
+    for piece in ng._pieces(iter([batch])):
+        n, chars = n + len(piece), max(chars, sum(map(len, piece)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and chars <= ng._PIECE + 100 and peak < 1_500_000
+
+
 def test_pmi_of_nothing(spark):
     assert ng.pmi(lines_frame(spark, []), 2).count() == 0
     assert ng.ngram_counts(lines_frame(spark, ["a", ""]), 2).count() == 0
