@@ -32,7 +32,7 @@ class Reporter:
     def __call__(self, phase: str, overall: float, within: float = 0.0, size: int = 0) -> None:
         with self.lock:
             overall = max(overall, self.last)
-            if phase == self.phase and overall < min(1.0, self.last + self.step):
+            if phase == self.phase and overall < min(1.0, self.last + self.step) - 1e-9:  # 0.2 + 0.1 is above 0.3
                 return
             spent = self.clock() - self.began
             left = spent / overall * (1 - overall) if 0 < overall < 1 else 0.0
